@@ -22,10 +22,10 @@ from .storage import materialise
 
 SPACE = "[ \\t-\\r]+"
 #: Statistics of the vector, each with the least spread that counts as ordinary.
-FLOORS = {"x_word": 0.10, "x_symbol": 0.05, "x_lines": 0.10, "x_repeat": 0.10}
+FLOORS = {"x_word": 0.10, "x_symbol": 0.20, "x_lines": 0.30, "x_repeat": 0.30}
 NAMES = list(FLOORS)
-#: Squared distance above which a row is rejected; far beyond the chi-square tail, so that ordinary rows stay.
-CUTOFF = 150.0
+#: Squared distance above which a row is rejected; about the one-in-ten-million point of chi-square.
+CUTOFF = 40.0
 #: Concentration steps, and the ranges per unit of the logarithm of a distance.
 STEPS, PER_LOG = 3, 64
 #: Groups with fewer rows are estimated with all rows of their language.
@@ -135,7 +135,7 @@ def _at(rows: DataFrame, value: str, part: float) -> DataFrame:
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians as centre, spreads between the quartiles as a diagonal scatter; values in steps of 1/1000."""
-    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.round(F.col(x) * 1000).cast("long").alias("v")) for i, x in enumerate(NAMES)])).alias("z")).select(F.struct("grp", "z.k").alias("grp"), "z.v")
+    long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(x) * 1000 + 0.5).cast("long").alias("v")) for i, x in enumerate(NAMES)])).alias("z")).select(F.struct("grp", "z.k").alias("grp"), "z.v")
     per = long.groupBy("grp", "v").agg(F.count("*").alias("n"))
     w = Window.partitionBy("grp")
     per = per.select("grp", "v", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("n").over(w).alias("all"))
