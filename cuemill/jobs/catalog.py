@@ -1,4 +1,4 @@
-"""Registered queries of the media part."""
+"""All registered queries of the media part."""
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
