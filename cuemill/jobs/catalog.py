@@ -1,4 +1,6 @@
 """All registered queries of the media part."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import container_queries, fingerprint_queries, packet_queries, stream_queries, table_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -137,16 +137,9 @@ def display_aspect_ratio(width: Column, height: Column, horizontal: Column, vert
 def nearest_rate(rate: timebase.Rate, candidates: Sequence[tuple[int, int]]) -> Column:
     """The candidate nearest to a rate, by exact cross-multiplied distance; the first of equals. BIGINT index."""
     n, d = timebase.parts(rate)
-    best: Column | None = None
-    for i, (cn, cd) in enumerate(candidates):
-        # |n/d - cn/cd| as a fraction over d * cd; d is common to all candidates
-        distance = F.abs(n * cd - F.lit(cn) * d).cast("decimal(19,0)")
-        each = F.struct(distance.alias("num"), F.lit(cd).cast("decimal(10,0)").alias("den"), F.lit(i).cast("bigint").alias("index"))
-        if best is None:
-            best = each
-        else:
-            best = F.when(each["num"] * best["den"] < best["num"] * each["den"], each).otherwise(best)
-    return best["index"]
+    # |n/d - cn/cd| as a fraction over d * cd; d is common to all candidates
+    each = [F.struct(F.abs(n * cd - F.lit(cn) * d).cast("decimal(19,0)").alias("num"), F.lit(cd).cast("decimal(10,0)").alias("den"), F.lit(i).cast("bigint").alias("index")) for i, (cn, cd) in enumerate(candidates)]
+    return F.reduce(F.array(*each[1:]), each[0], lambda best, x: F.when(x["num"] * best["den"] < best["num"] * x["den"], x).otherwise(best))["index"]
 
 
 # --- report projections

@@ -299,7 +299,8 @@ def _track_box(track: dict, data: bytes, kind: bytes, a: int, b: int) -> None:
         track["width"], track["height"] = (w >> 16) or None, (h >> 16) or None
     elif kind == b"mdhd":
         track["timescale"], track["duration"] = _time(data, a, b)
-        track["language"] = struct.unpack(">H", need(data[:b], b - 4, 2, "mdhd"))[0]
+        wide = need(data[:b], a, 1, "mdhd")[0] == 1
+        track["language"] = struct.unpack(">H", need(data[:b], a + (32 if wide else 20), 2, "mdhd"))[0]
     elif kind == b"hdlr" and "handler" not in track:
         track["handler"] = need(data[:b], a + 8, 4, "hdlr").decode("latin-1")
         track["handler_name"] = data[a + 24 : b].split(b"\0")[0].decode("utf-8", "replace")
@@ -370,3 +371,206 @@ def _entry_box(out: dict, e: bytes, kind: bytes, a: int, b: int) -> None:
     elif kind == b"dfLa" and n >= 42:
         packed = int.from_bytes(e[a + 18 : a + 26], "big")
         out["sample_rate"], out["channels"], out["bits_per_raw_sample"] = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1
+
+
+# --- MOV tags and cover art
+
+#: Tag names and value kinds of metadata atoms.
+ATOMS = {
+    b"\xa9nam": ("title", "text"),
+    b"\xa9ART": ("artist", "text"),
+    b"aART": ("album_artist", "text"),
+    b"\xa9alb": ("album", "text"),
+    b"\xa9day": ("date", "text"),
+    b"\xa9gen": ("genre", "text"),
+    b"\xa9cmt": ("comment", "text"),
+    b"desc": ("description", "text"),
+    b"ldes": ("long_description", "text"),
+    b"\xa9too": ("encoder", "text"),
+    b"akID": ("account_type", "int8"),
+    b"cpil": ("compilation", "int8"),
+    b"egid": ("episode_uid", "int8"),
+    b"gnre": ("genre", "genre"),
+    b"hdvd": ("hd_video", "int8"),
+    b"pcst": ("podcast", "int8"),
+    b"pgap": ("gapless_playback", "int8"),
+    b"rtng": ("rating", "int8"),
+    b"stik": ("media_type", "int8"),
+    b"trkn": ("track", "pair"),
+    b"tves": ("episode_sort", "int8_padded"),
+    b"tvsn": ("season_number", "int8_padded"),
+    b"disk": ("disc", "pair"),
+}
+
+#: The first names of the ID3v1 genre list, by index.
+GENRES = (
+    "Blues", "Classic Rock", "Country", "Dance", "Disco", "Funk", "Grunge", "Hip-Hop", "Jazz", "Metal", "New Age", "Oldies", "Other", "Pop", "R&B", "Rap", "Reggae",
+    "Rock", "Techno", "Industrial", "Alternative", "Ska", "Death Metal", "Pranks", "Soundtrack", "Euro-Techno", "Ambient", "Trip-Hop", "Vocal", "Jazz+Funk", "Fusion",
+    "Trance", "Classical", "Instrumental", "Acid", "House", "Game", "Sound Clip", "Gospel", "Noise", "Alternative Rock", "Bass", "Soul", "Punk", "Space", "Meditative",
+    "Instrumental Pop", "Instrumental Rock", "Ethnic", "Gothic", "Darkwave", "Techno-Industrial", "Electronic", "Pop-Folk", "Eurodance", "Dream", "Southern Rock",
+    "Comedy", "Cult", "Gangsta", "Top 40", "Christian Rap", "Pop/Funk", "Jungle", "Native US", "Cabaret", "New Wave", "Psychedelic", "Rave", "Showtunes", "Trailer",
+    "Lo-Fi", "Tribal", "Acid Punk", "Acid Jazz", "Polka", "Retro", "Musical", "Rock & Roll", "Hard Rock",
+)
+PNG = b"\x89PNG\r\n\x1a\n"
+
+
+def text_of(data: bytes, wide: bool | None = None) -> str:
+    """UTF-8, or UTF-16 if ``wide`` (big-endian without a mark); for None a byte order mark decides."""
+    mark = {b"\xfe\xff": "utf-16-be", b"\xff\xfe": "utf-16-le"}.get(data[:2])
+    try:
+        if wide or wide is None and mark:
+            body = data[2:] if mark else data
+            if len(data) % 2:
+                raise Bad("InvalidData", "UTF-16 text of odd length")
+            return body.decode(mark or "utf-16-be")
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        raise Bad("InvalidData", "text is not valid") from None
+
+
+def tag_value(kind: str, data_type: int, value: bytes) -> str | None:
+    """A metadata value as text; null for what is unset or of another type."""
+    if kind == "text":
+        return text_of(value, data_type == 2) if data_type in (1, 2) else None
+    if kind == "pair":
+        if data_type:
+            return None
+        n, total = struct.unpack(">HH", need(value, 2, 4, "number pair"))
+        return None if not n and not total else f"{n}/{total}" if total else str(n)
+    if kind == "genre":
+        if data_type:
+            return None
+        if len(value) != 2:
+            raise Bad("InvalidData", "bad genre index")
+        n = int.from_bytes(value, "big")
+        if n > len(GENRES):
+            raise Bad("InvalidData", f"unknown genre index {n}")
+        return GENRES[n - 1] if n else None
+    return str(need(value, 3 if kind == "int8_padded" else 0, 1, "number")[0])
+
+
+def ilst_items(data: bytes) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str, bytes]]]:
+    """Tags as (owner, key, value) in file order, and cover art as (owner, codec, mime, bytes). The owner is the track's path or empty."""
+    tags: list[tuple[str, str, str]] = []
+    art: list[tuple[str, str, str, bytes]] = []
+    free: dict[str, dict[bytes, bytes]] = {}
+    for path, kind, a, b in boxes(data):
+        parts = path.split("/")
+        if "ilst[0]" not in parts:
+            continue
+        owner = next((p for p in parts if p.startswith("trak[")), "")
+        depth = len(parts) - parts.index("ilst[0]")
+        if depth == 2 and kind == b"----":
+            free[path] = {}
+        elif depth == 3 and (item := path.rpartition("/")[0]) in free:
+            free[item][kind] = data[a:b]
+            if kind == b"data" and {b"mean", b"name"} <= free[item].keys():
+                mean, name = (text_of(need(free[item][k], 4, len(free[item][k]) - 4, "text"), False) for k in (b"mean", b"name"))
+                if mean and name and name != "cdec":
+                    tags.append((owner, name, text_of(need(data[:b], a + 8, b - a - 8, "value"), False)))
+        elif depth == 3 and kind == b"data":
+            atom = parts[-2].rpartition("[")[0].encode("latin-1")
+            body = need(data[:b], a, 8, "metadata value")
+            data_type, value = int.from_bytes(body[1:4], "big"), data[a + 8 : b]
+            if atom == b"covr":
+                declared = {13: ("mjpeg", "image/jpeg"), 14: ("png", "image/png"), 27: ("bmp", "image/bmp")}.get(data_type)
+                if declared and data_type != 27 and len(value) >= len(PNG):
+                    declared = ("png", "image/png") if value.startswith(PNG) else ("mjpeg", "image/jpeg")
+                if declared:
+                    art.append((owner, *declared, value))
+            elif atom in ATOMS and (text := tag_value(ATOMS[atom][1], data_type, value)) is not None:
+                tags.append((owner, ATOMS[atom][0], text))
+    return tags, art
+
+
+# --- text samples
+
+
+def _children(data: bytes, at: int) -> list[tuple[bytes, bytes]]:
+    return [(kind, data[a:b]) for path, kind, a, b in boxes(data, at) if path.count("/") == 1]
+
+
+def _ranges(kids: list[tuple[bytes, bytes]], kind: bytes, n: int, head: int = 0) -> list[tuple[int, int]]:
+    found = [struct.unpack(">HH", need(body, 0, 4, "range")) for k, body in kids if k == kind]
+    if any(s > e or e > n for s, e in found) or any(b[0] < a[1] for a, b in zip(found, found[1:])):
+        raise Bad("InvalidData", f"bad {kind.decode()} ranges")
+    return found
+
+
+def timed_text(data: bytes) -> dict:
+    """A tx3g sample: text and encoding, styles, highlights, blinks, links, karaoke, and counts."""
+    n = int.from_bytes(need(data, 0, 2, "text length"), "big")
+    raw = need(data, 2, n, "text")
+    encoding = {b"\xfe\xff": "utf-16be", b"\xff\xfe": "utf-16le"}.get(raw[:2], "utf-8")
+    text = text_of(raw)
+    kids = _children(data, 2 + n)
+    styles = []
+    for kind, body in kids:
+        if kind == b"styl":
+            count = int.from_bytes(need(body, 0, 2, "styl"), "big")
+            if len(body) != 2 + 12 * count:
+                raise Bad("InvalidData", "bad styl size")
+            for start, end, font, face, size, color in struct.iter_unpack(">HHHBB4s", body[2:]):
+                if end < start or end > len(text) or (styles and start < styles[-1]["end"] and start < end):
+                    raise Bad("InvalidData", "bad styl record")
+                styles.append({"start": start, "end": end, "font": font, "face": face, "size": size, "color": color.hex()})
+    links = []
+    for kind, body in kids:
+        if kind == b"href":
+            start, end = struct.unpack(">HH", need(body, 0, 4, "href"))
+            url_n = need(body, 4, 1, "href")[0]
+            url = need(body, 5, url_n, "href").decode("utf-8", "replace")
+            alt_n = need(body, 5 + url_n, 1, "href")[0]
+            links.append({"start": start, "end": end, "url": url, "alt": need(body, 6 + url_n, alt_n, "href").decode("utf-8", "replace")})
+    karaoke = []
+    for kind, body in kids:
+        if kind == b"krok":
+            begin, count = struct.unpack(">IH", need(body, 0, 6, "krok"))
+            for end_time, start, end in struct.iter_unpack(">IHH", need(body, 6, 8 * count, "krok")):
+                karaoke.append({"start_time": begin, "end_time": end_time, "start": start, "end": end})
+                begin = end_time
+    return {"text": text, "encoding": encoding, "chars": len(text), "modifiers": len(kids), "styles": styles, "links": links, "karaoke": karaoke, "highlights": [{"start": s, "end": e} for s, e in _ranges(kids, b"hlit", len(text))], "blinks": [{"start": s, "end": e} for s, e in _ranges(kids, b"blnk", len(text))]}
+
+
+def webvtt(data: bytes) -> list[dict]:
+    """A wvtt sample as items: one empty cue, or cues and additional text in order."""
+    if not data:
+        raise Bad("InvalidData", "empty sample")
+    items = []
+    for kind, body in _children(data, 0):
+        if kind == b"vtte":
+            if body:
+                raise Bad("InvalidData", "vtte must be empty")
+            items.append({"kind": "empty"})
+        elif kind == b"vtta":
+            items.append({"kind": "additional", "payload": _line(body)})
+        elif kind == b"vttc":
+            items.append(_cue(body))
+        else:
+            raise Bad("InvalidData", f"unsupported box {kind!r}")
+    kinds = [i["kind"] for i in items]
+    if "empty" in kinds and len(items) != 1 or "empty" not in kinds and "cue" not in kinds:
+        raise Bad("InvalidData", "a sample is one empty cue or has a cue")
+    return items
+
+
+def _line(body: bytes) -> str:
+    text = text_of(body, False)
+    if text.endswith(("\n", "\r")):
+        raise Bad("InvalidData", "text ends with a line end")
+    return text
+
+
+def _cue(body: bytes) -> dict:
+    kids = _children(body, 0)
+    names = [k for k, _ in kids]
+    if len(set(names)) != len(names) or not set(names) <= {b"vsid", b"iden", b"ctim", b"sttg", b"payl"} or b"payl" not in names:
+        raise Bad("InvalidData", "bad boxes in a cue")
+    found = dict(kids)
+    if b"vsid" in found and len(found[b"vsid"]) != 4:
+        raise Bad("InvalidData", "bad source id")
+    text = {k: _line(found[k]) for k in (b"iden", b"ctim", b"sttg", b"payl") if k in found}
+    if text.get(b"sttg", "").startswith(" ") or "\n\n" in text[b"payl"].replace("\r\n", "\n").replace("\r", "\n"):
+        raise Bad("InvalidData", "bad settings or a blank line in a cue")
+    source = int.from_bytes(found[b"vsid"], "big") if b"vsid" in found else None
+    return {"kind": "cue", "source_id": source, "cue_id": text.get(b"iden"), "cue_time": text.get(b"ctim"), "settings": text.get(b"sttg"), "payload": text[b"payl"]}
