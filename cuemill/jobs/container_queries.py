@@ -348,3 +348,59 @@ def damaged_files(spark, sf_dir):
     mov = mov_files(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, cast(pmod(file_id * 37, octet_length(content)) as int))"))
     rows = containers.wav_packets(wav).select(F.lit("wav").alias("container"), "error_kind").unionByName(containers.mov_boxes(mov).select(F.lit("mov").alias("container"), "error_kind"))
     return rows.groupBy("container", "error_kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS file_id, CASE WHEN doc_id % 6 != 0 THEN 'not a wav file' END AS error, 48000::BIGINT AS sample_rate FROM documents")
+def forced_formats(spark, sf_dir):
+    """Files read as WAV whatever they look like: the signature is still checked."""
+    return probe.with_stream_params(headed_files(spark, sf_dir), "wav", sample_rate=48_000).select("file_id", "error", "sample_rate")
+
+
+@query("SELECT event_id, 'kind=' || event_type || ':kind=' || user_id AS chosen, 3::BIGINT AS every FROM events")
+def selected_tags(spark, sf_dir):
+    """Tags with chosen keys, in their order."""
+    from ..functions.tags import format_pairs
+
+    tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    tags = F.array(tag("kind", F.col("event_type")), tag("other", F.lit("x")), tag("kind", F.col("user_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", format_pairs(probe.select_tags(tags, ["kind", "none"])).alias("chosen"), F.size(probe.select_tags(tags, None)).alias("every"))
+
+
+@query("SELECT doc_id AS file_id, md5(text) AS digest, length(text) AS chars FROM documents WHERE text IS NOT NULL")
+def decoded_texts(spark, sf_dir):
+    """Texts stored as UTF-16 with a byte order mark, UTF-16 without one, or UTF-8."""
+    text = F.col("text")
+    kind = F.col("doc_id") % 3
+    raw = F.when(kind == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(kind == 1, F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "UTF-8"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("file_id"), decode.decode_text(raw, kind < 2).alias("t"))
+    return rows.where("t.error is null").select("file_id", F.md5(F.col("t.text").cast("binary")).alias("digest"), F.length("t.text").alias("chars"))
+
+
+def _pictures(spark, sf_dir):
+    """A MOV file per region and nation name with a picture in its tags."""
+
+    @F.pandas_udf("binary")
+    def build(name: pd.Series, key: pd.Series) -> pd.Series:
+        avcc = mov_writer.box(b"avcC", bytes([1, 100, 0, 31, 0xFF, 0xE0, 0]))
+
+        def one(n: str, k: int) -> bytes:
+            art = mov_writer.data_atom(b"covr", 13, (boxes.PNG if k % 2 else b"\xff\xd8\xff\xe0\0\0\0\0") + n.encode())
+            return mov_writer.movie([n.encode()], [1], ilst=art, entry=mov_writer.video_entry(b"avc1", 16 + int(k), 8, avcc))
+
+        return pd.Series([one(n, k) for n, k in zip(name, key)])
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), build("c_name", "c_custkey").alias("content"))
+    return rows.withColumn("path", F.lit("x.mov")).withColumn("length", F.octet_length("content").cast("bigint"))
+
+
+@query("SELECT c_custkey AS file_id, CASE WHEN c_custkey % 2 = 1 THEN 'png' ELSE 'mjpeg' END AS codec, CASE WHEN c_custkey % 2 = 1 THEN 'image/png' ELSE 'image/jpeg' END AS mime_type, octet_length(encode(c_name)) + 8 AS size FROM customer")
+def cover_pictures(spark, sf_dir):
+    """Pictures in tags; the signature corrects what is declared."""
+    return containers.cover_art(_pictures(spark, sf_dir)).where("error is null").select("file_id", "codec", "mime_type", F.octet_length("data").cast("bigint").alias("size"))
+
+
+@query("SELECT c_custkey AS file_id, 'h264' AS codec_name, 'High' AS profile, 31::BIGINT AS level, 4::BIGINT AS nal_length_size, true AS is_avc, 7::BIGINT AS extradata_size, 2::BIGINT AS width FROM customer")
+def sample_entries(spark, sf_dir):
+    """Codec configuration from sample entries."""
+    rows = containers.mov_tracks(_pictures(spark, sf_dir)).where("error is null").withColumn("codec_name", probe.codec_name(F.col("fourcc")))
+    return rows.select("file_id", "codec_name", probe.profile_name(F.col("codec_name"), F.col("profile")).alias("profile"), "level", "nal_length_size", "is_avc", "extradata_size", "width")

@@ -219,3 +219,19 @@ def skip_samples(side_data: Column) -> Column:
     number = lambda at: F.conv(F.concat(*[F.substring(text, at + k, 2) for k in (6, 4, 2, 0)]), 16, 10).cast("bigint")
     byte = lambda at: F.conv(F.substring(text, at, 2), 16, 10).cast("int")
     return F.when(entry.isNotNull(), F.struct(number(1).alias("skip_samples"), number(9).alias("discard_padding"), byte(17).alias("skip_reason"), byte(19).alias("discard_reason")))
+
+
+def decode_text(data: Column, wide: Column) -> Column:
+    """``struct(text, error)`` of tag bytes: UTF-8, or where ``wide`` UTF-16 by its byte order mark, big-endian without one."""
+
+    @F.pandas_udf("struct<text:string,error:string>")
+    def run(values: pd.Series, wides: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v, w in zip(values, wides):
+            try:
+                rows.append((boxes.text_of(bytes(v or b""), bool(w)), None))
+            except boxes.Bad as e:
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
+
+    return run(data, wide)
