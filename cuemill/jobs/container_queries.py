@@ -219,7 +219,7 @@ def report_lines(spark, sf_dir):
     return out
 
 
-@query("SELECT n_nationkey, '[NATION]' || chr(10) || 'n_name=' || n_name || chr(10) || '[/NATION]' AS plain, 'nations.nation.0.n_name=\"' || n_name || '\"' AS flat, '[nations.nation.0]' || chr(10) || 'n_name=' || n_name || chr(10) AS ini FROM nation")
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, '[NATION]' || chr(10) || 'n_name=' || n_name || chr(10) || '[/NATION]' AS plain, 'nations.nation.0.n_name=\"' || n_name || '\"' AS flat, '[nations.nation.0]' || chr(10) || 'n_name=' || n_name || chr(10) AS ini FROM nation")
 def report_blocks(spark, sf_dir):
     """Rows as default, flat and ini report blocks."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

@@ -42,7 +42,7 @@ def sample_totals(spark, sf_dir):
     return P.sample_totals(tables_of(spark, sf_dir)["stts"]).select("file_id", "samples", "media_duration")
 
 
-@query(f"WITH {RUNS}, {_CHUNKS} SELECT file_id, chunk, per AS samples FROM ce")
+@query(f"WITH {RUNS}, {_CHUNKS} SELECT file_id, chunk, per::BIGINT AS samples FROM ce")
 def chunk_entries(spark, sf_dir):
     """The sample-to-chunk entry in force for every chunk."""
     t = tables_of(spark, sf_dir)
@@ -66,7 +66,7 @@ def placed_samples(spark, sf_dir):
     return S.place_samples(placed)
 
 
-@query(_PLACED + " SELECT file_id, sample, chunk, size, pos, dts, dts + offs AS pts, delta AS duration, CASE WHEN sample = 0 THEN 5 ELSE 1 END AS flags, CASE WHEN sample = 0 THEN 1024 END AS skip_samples FROM o")
+@query(_PLACED + " SELECT file_id, sample, chunk, size, pos, dts, dts + offs AS pts, delta AS duration, CASE WHEN sample = 0 THEN 5 ELSE 1 END::BIGINT AS flags, CASE WHEN sample = 0 THEN 1024 END::BIGINT AS skip_samples FROM o")
 def sample_timeline(spark, sf_dir):
     """Compact sample tables expanded into a packet timeline with an edit list."""
     rows = placed_samples(spark, sf_dir)
