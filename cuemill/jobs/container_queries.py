@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from ..operators import decode, dims, mux, probe, reports
 from ..sources import adapters, boxes, containers, media, mov_writer
 from .fingerprint_queries import turn_packets
 from .fragments import FILES, TURN_PACKETS, pcm
-from .packet_queries import event_packets
 from .registry import query, table
 
 

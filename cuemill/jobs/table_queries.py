@@ -36,6 +36,15 @@ def expanded_durations(spark, sf_dir):
     return S.expand_runs(tables_of(spark, sf_dir)["stts"], "duration").select("file_id", "sample", "duration")
 
 
+@query(f"WITH {RUNS} SELECT file_id, sample, size, delta AS duration, offs AS ctts, sample % 3 = 0 AS is_key FROM s")
+def zipped_samples(spark, sf_dir):
+    """Sizes, durations, offsets and key samples joined by sample number."""
+    t = tables_of(spark, sf_dir)
+    sizes = S.expand_runs(t["stsz_runs"], "size")
+    sync = sizes.where("sample % 3 = 0").select("file_id", "track", "sample")
+    return S.zip_samples(sizes, S.expand_runs(t["stts"], "duration"), S.expand_runs(t["ctts"], "ctts"), sync).select("file_id", "sample", "size", "duration", "ctts", "is_key")
+
+
 @query("SELECT l_orderkey AS file_id, sum(l_quantity::BIGINT)::BIGINT AS samples, sum(l_quantity::BIGINT * (l_suppkey + 1))::BIGINT AS media_duration FROM lineitem GROUP BY l_orderkey")
 def sample_totals(spark, sf_dir):
     """Samples and media duration per track."""
@@ -60,9 +69,8 @@ o AS (SELECT *, (chunk_offset + coalesce(sum(size) OVER (PARTITION BY file_id, c
 
 def placed_samples(spark, sf_dir):
     t = tables_of(spark, sf_dir)
-    chunks = S.chunk_runs(t["stsc"], chunk_counts(t))
-    samples = S.zip_samples(S.expand_runs(t["stsz_runs"], "size"), S.expand_runs(t["stts"], "duration"), S.expand_runs(t["ctts"], "ctts"), None)
-    placed = samples.join(S.samples_in_chunks(chunks), ["file_id", "track", "sample"]).withColumn("chunk_offset", F.col("chunk") * 100_000)
+    chunks = S.chunk_runs(t["stsc"], chunk_counts(t)).withColumn("chunk_offset", F.col("chunk") * 100_000)
+    placed = S.assemble_samples(t["stsz_runs"], t["stts"], t["ctts"], None, chunks)
     return S.place_samples(placed)
 
 

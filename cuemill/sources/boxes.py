@@ -490,7 +490,7 @@ def _children(data: bytes, at: int) -> list[tuple[bytes, bytes]]:
     return [(kind, data[a:b]) for path, kind, a, b in boxes(data, at) if path.count("/") == 1]
 
 
-def _ranges(kids: list[tuple[bytes, bytes]], kind: bytes, n: int, head: int = 0) -> list[tuple[int, int]]:
+def _ranges(kids: list[tuple[bytes, bytes]], kind: bytes, n: int) -> list[tuple[int, int]]:
     found = [struct.unpack(">HH", need(body, 0, 4, "range")) for k, body in kids if k == kind]
     if any(s > e or e > n for s, e in found) or any(b[0] < a[1] for a, b in zip(found, found[1:])):
         raise Bad("InvalidData", f"bad {kind.decode()} ranges")

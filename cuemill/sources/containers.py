@@ -198,14 +198,10 @@ def mov_packets(files: DataFrame) -> DataFrame:
         return raw.where(F.col("table") == name).select(*key, "ord", *[F.col(v).alias(k) for k, v in columns.items()])
 
     runs = {"count": "a", "value": "b"}
-    sizes = sample_tables.expand_runs(rows("stsz", **runs), "size")
-    durations = sample_tables.expand_runs(rows("stts", **runs), "duration")
-    offsets = sample_tables.expand_runs(rows("ctts", **runs), "ctts")
     sync = rows("stss", number="a").select(*key, (F.col("number") - 1).alias("sample"))
-    chunks = rows("stco", chunk_offset="a").withColumn("chunk", F.col("ord") + 1)
-    entries = rows("stsc", first_chunk="a", samples_per_chunk="b")
-    placed = sample_tables.samples_in_chunks(sample_tables.chunk_runs(entries, chunks.groupBy(*key).agg(F.count("*").alias("chunk_count"))))
-    samples = sample_tables.zip_samples(sizes, durations, offsets, sync).join(placed, [*key, "sample"]).join(chunks.drop("ord"), [*key, "chunk"])
+    offsets = rows("stco", chunk_offset="a").withColumn("chunk", F.col("ord") + 1).drop("ord")
+    entries = sample_tables.chunk_runs(rows("stsc", first_chunk="a", samples_per_chunk="b"), offsets.groupBy(*key).agg(F.count("*").alias("chunk_count")))
+    samples = sample_tables.assemble_samples(rows("stsz", **runs), rows("stts", **runs), rows("ctts", **runs), sync, entries.join(offsets, [*key, "chunk"]))
     codec = mov_tracks(files).where("error is null").select(*key, F.coalesce("media_time", F.lit(0)).alias("media_time"), F.col("fourcc").alias("codec"))
     return sample_tables.timeline(sample_tables.place_samples(samples), codec).select(*key, "sample", "size", "pos", "dts", "pts", "duration", "flags", "skip_samples")
 

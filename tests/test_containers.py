@@ -216,3 +216,20 @@ def test_files_in_and_out(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ['format,"a,b"', "format,c"]
     reports.write_tables({"formats": rows}, str(tmp_path / "tables"), "name")
     assert spark.read.parquet(str(tmp_path / "tables/formats")).where("name = 'c'").first().file_id == 2
+
+
+def test_assembled_samples_are_the_joined_ones(spark):
+    key = "file_id int, track int, ord int, count bigint, value bigint"
+    runs = lambda rows: spark.createDataFrame([(f, 0, i, n, v) for f, part in rows.items() for i, (n, v) in enumerate(part)], key)
+    sizes, durations = runs({1: [(3, 2), (2, 9)], 2: [(4, 1)]}), runs({1: [(5, 10)], 2: [(1, 20), (3, 30)]})
+    ctts = runs({1: [(1, 5), (4, 7)]})
+    sync = spark.createDataFrame([(1, 0, 0), (1, 0, 3)], "file_id int, track int, sample bigint")
+    chunks = spark.createDataFrame([(1, 0, 1, 2, 100), (1, 0, 2, 3, 200), (2, 0, 1, 4, 50)], "file_id int, track int, chunk bigint, samples bigint, chunk_offset bigint")
+    columns = ["file_id", "track", "sample", "size", "duration", "ctts", "is_key", "chunk", "chunk_offset"]
+    joined = S.zip_samples(S.expand_runs(sizes, "size"), S.expand_runs(durations, "duration"), S.expand_runs(ctts, "ctts"), sync)
+    joined = joined.join(S.samples_in_chunks(chunks), ["file_id", "track", "sample"]).join(chunks.drop("samples"), ["file_id", "track", "chunk"])
+    got = S.assemble_samples(sizes, durations, ctts, sync, chunks)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, joined.select(*columns).collect()))
+    plain = S.assemble_samples(sizes, durations)
+    assert plain.count() == 9 and plain.where("is_key and ctts = 0").count() == 9
+    assert S.assemble_samples(runs({1: [(1 << 40, 1)]}), durations).count() == 0
