@@ -69,3 +69,24 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
     key = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, stages[-1][key].values.tolist()))
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_awkward_rows(spark, awkward, empty, sf_dir, number):
+    """Nulls in every column, repeated rows, extra columns; and an empty table."""
+    name, stage = corpus_pipeline.STAGES[number]
+    got = stage(spark, awkward, sf_dir).toPandas()
+    if name != "pack":
+        assert list(got.columns) == awkward.columns
+    ids = Counter(got.doc_id.dropna().astype(int))
+    if name == "quality_rules":
+        assert not ids  # all have fewer than 50 words, or repeat themselves
+    if name == "exact_dedup":
+        assert ids == Counter([1, 4, 5, 6, 7, 9, 10])
+    if name == "near_dedup":
+        assert max(ids.values()) == 1 and ids[2] == 1 and not ids[3] and not ids[8]
+    if name == "mix":
+        assert max(ids.values()) <= 4  # a row that is there twice, twice each
+    if name == "pack":
+        assert set(ids) == set(range(11))
+    assert stage(spark, empty, sf_dir).count() == 0
