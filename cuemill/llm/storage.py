@@ -12,22 +12,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
     Only a local master may go without that setting (tests, a laptop): a temporary
-    folder is then made and set. On a cluster a missing setting is an error, since a
+    folder is then made. On a cluster a missing setting is an error, since a
     machine-local folder would not be seen by the other machines.
     """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cuemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cuemill-")
+            context.setCheckpointDir(_OWN[context.applicationId])
+        root = _OWN[context.applicationId]
     return root.rstrip("/")
 
 
