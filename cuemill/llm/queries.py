@@ -19,10 +19,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The packing of op2 and of the pipeline: 2048 tokens, end token 0."""
+    """The packing of op2 and of the pipeline: 2048 tokens, end token 0; of a longer document's pieces the first may be shorter."""
     import public_tokenizers
 
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 2048, 0, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 2048, 0, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, short_first=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
