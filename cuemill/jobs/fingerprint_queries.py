@@ -95,8 +95,8 @@ def digests_of_files(spark, sf_dir):
 
 @query()
 def other_digests_of_files(spark, sf_dir):
-    """The digests that Spark lacks, over page addresses (tested against vectors)."""
-    data = F.coalesce("url", F.lit("")).cast("binary")
+    """The digests that Spark lacks, over whole pages (tested against vectors)."""
+    data = F.coalesce("html", F.lit("")).cast("binary")
     return table(spark, sf_dir, "pages").select("page_id", *[digests.hash_hex(data, n).alias(n.lower().replace("/", "_")) for n in digests.ALGORITHMS])
 
 
