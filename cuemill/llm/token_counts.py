@@ -92,12 +92,29 @@ class TokenCounter:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pieces = regex.compile(PATTERN).findall
+        self.path, self.library = path, None
 
     def segment(self, text: str) -> int:
         if not text.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in set(text)):
+                return self.unsettled(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final-sigma rule
         return sum(map(self.counts.__getitem__, self.pieces(text.lower())))
 
+    def unsettled(self, text: str) -> int:
+        """For texts with code points that this Python's Unicode tables don't assign: tables of other versions
+        class and fold them differently, so the library's own normaliser and splitter make the pieces."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        total = 0
+        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            symbols = list(piece)
+            symbols[-1] += self.counts.suffix
+            total += merged_symbols(symbols, self.counts.ranks)
+        return total
+
     def __call__(self, text: str) -> int:
         if self.special is None or "<|" not in text and not self.special.search(text):
             return self.segment(text)

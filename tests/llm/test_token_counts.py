@@ -51,3 +51,12 @@ def test_awkward(awkward, empty):
         part = got[got.doc_id == i]
         assert set(part.n_tokens) == {expected(t)} and set(part.n_bytes) == {len((t or "").encode())}
     assert token_counts(empty, PATH).count() == 0
+
+
+def test_every_code_point():
+    """In a Latin and a Greek word, each code point that text can hold gives the library's count."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 1 << 16):
+        texts = [f"a{chr(c)}b Α{chr(c)}Σ" for c in points[k : k + (1 << 16)]]
+        expected = [len(e.ids) for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+        assert list(map(COUNTER, texts)) == expected
