@@ -1,7 +1,11 @@
 import hashlib
 import random
+import re
+import time
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from cuemill.llm import line_dedup
 from cuemill.llm.queries import QUERIES
@@ -41,3 +45,32 @@ def test_awkward(spark):
     assert got[got.page_id.isna()].host.isna().all()
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
     assert hashlib.md5(got[got.page_id == 2].text.iloc[0].encode()).hexdigest() == hashlib.md5(b"").hexdigest()
+
+
+OLD_TRIM = r"^[ \t\r\f]+|[ \t\r\f]+$"
+
+
+def plain_lines(html):
+    """Lines by the patterns alone."""
+    text = re.sub(line_dedup.HIDDEN, "", html)
+    text = re.sub(line_dedup.TAG, "", re.sub(line_dedup.BREAKS, "\n", text, flags=re.ASCII))
+    return [x for x in (re.sub(OLD_TRIM, "", y) for y in text.split("\n")) if x]
+
+
+def test_lines_are_those_of_the_patterns(spark):
+    """Random pages of broken markup, masked characters included."""
+    rng = random.Random(5)
+    parts = ["<script>", "<SCRIPT a", "</script>", "</Script>", "<style>", "</style>", "<style", "<!--", "-->", "<!-->", "<p>", "<p ", "</p>", "<b", ">", "<", "x", " y ", "\n", "\x01", "\x010", "\x011", "é", "/>", "<br/>"]
+    pages = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))) for i in range(3000)]
+    got = {r.i: r.lines for r in spark.createDataFrame(pages, "i int, html string").select("i", line_dedup.lines_of(F.col("html")).alias("lines")).collect()}
+    for i, html in pages:
+        assert got[i] == plain_lines(html), html
+
+
+@pytest.mark.parametrize("part", ["<", "<!--", "<script>", "<script ", "<style>", "<p ", "<a", "<!-->", "-->", " ", "</script>", "<p>", "<script></style>"])
+@pytest.mark.parametrize("end", ["", "x</script>", "-->", ">x"])
+def test_a_megabyte_of_broken_markup_takes_seconds(spark, part, end):
+    html = part * ((1 << 20) // len(part)) + end
+    began = time.time()
+    spark.createDataFrame([(1, html)], "i int, html string").select(F.size(line_dedup.lines_of(F.col("html")))).collect()
+    assert time.time() - began < 10
