@@ -1,20 +1,26 @@
 """Exact deduplication as a stateful stream.
 
-Rows arrive as a stream of (digest, identifier, length, locator); a keyed aggregation
-in the RocksDB state store keeps one entry per digest without expiry: how many rows had
-it, the stable identifier of the row that stays, and the locator of its content. The
-store lives on disk and is checkpointed to the shared folder, so a lost executor resumes
-from there and later runs may go on from the same state.
-
-Every hit is then held against the full text that its locator points to. Texts that only
-share a digest are split into classes of their own by their whole text.
+The normalised texts are written once as a content table. Its rows arrive as a stream of
+(digest, identifier, length, locator); a keyed aggregation in the RocksDB state store keeps
+one entry per digest without expiry: how many rows had it, the stable identifier of the row
+that stays, and the locator of its content (file and row of the content table). The store
+lives on disk and is checkpointed to the shared folder, so a lost executor resumes from
+there and later runs may go on from the same state.
+
+Every hit is then held against the full bytes: the texts of hits alone are fetched by their
+locators and compared per digest. Texts that only share a digest are split into classes of
+their own by their whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,20 +46,30 @@ def sha256_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, length, digest, locator``, the rows that the stream carries; ``locator`` addresses one text of a row."""
+    """``doc_id, length, digest, text_sha256, norm``: the content table; the stream carries all but the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("length"), normalised(F.col(text_col)).alias("norm"))
-    return rows.select("doc_id", "length", digest(F.col("norm")).alias("digest"), F.xxhash64("norm").alias("locator"))
+    rows = rows.withColumn("digest", digest(F.col("norm")))
+    return rows.select("doc_id", "length", "digest", (F.lit(None).cast("string") if digest is sha256_of else sha256_of(F.col("norm"))).alias("text_sha256"), "norm")
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Rows of the content table with their locator instead of the text."""
+    return rows.select("doc_id", "length", "digest", "text_sha256", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))
 
 
 def _better() -> Column:
-    """Orders rows of a digest: the longest original text, then the smallest id, null ids last."""
-    return F.struct(F.col("length"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("rank"), F.col("doc_id"), F.col("locator"))
+    """Least for the row that stays: the longest original text, then the smallest id (null last), then the first row of the content table."""
+    return F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("locator"))
 
 
 def grouped(rows: DataFrame) -> DataFrame:
     """The keyed state: per digest the row that stays, its locator and the number of rows."""
-    return rows.groupBy("digest").agg(F.max(_better()).alias("best"), F.count("*").alias("group_size"))
+    return rows.groupBy("digest").agg(F.min(_better()).alias("best"), F.count("*").alias("group_size"))
+
+
+def entry_schema(id_type: str) -> str:
+    return f"digest string, best struct<shorter:bigint,unknown:boolean,doc_id:{id_type},locator:struct<file:string,row:bigint>>, group_size bigint"
 
 
 def run_stream(source: DataFrame, state_dir: str, out_dir: str) -> None:
@@ -78,12 +94,34 @@ def run_stream(source: DataFrame, state_dir: str, out_dir: str) -> None:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def latest(spark, out_dir: str, id_type: str) -> DataFrame:
-    """The last entry that the stream wrote for each digest."""
-    schema = f"digest string, best struct<length:bigint,known:boolean,rank:{id_type},doc_id:{id_type},locator:bigint>, group_size bigint, batch bigint"
-    rows = spark.read.schema(schema).parquet(out_dir)
+def latest(spark: SparkSession, out_dir: str, id_type: str) -> DataFrame:
+    """The last entry that the stream wrote for each digest: ``digest, keep_id, keep, group_size``."""
+    rows = spark.read.schema(f"{entry_schema(id_type)}, batch bigint").parquet(out_dir)
     last = rows.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("e"))
-    return last.select("digest", F.col("e.best.doc_id").alias("keep_id"), F.col("e.best.length").alias("keep_length"), F.col("e.best.locator").alias("keep_locator"), F.col("e.group_size").alias("group_size"))
+    return last.select("digest", F.col("e.best.doc_id").alias("keep_id"), F.col("e.best.locator").alias("keep"), F.col("e.group_size").alias("group_size"))
+
+
+def texts_at(rows: DataFrame, folder: str) -> DataFrame:
+    """``digest, norm``: the texts of the content table's rows in ``rows(digest, locator)``; only their row groups are read."""
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = fs.FileSystem.from_uri(folder)
+        for frame in frames:
+            for name, part in frame.groupby("file", sort=False):
+                with store.open_input_file(f"{path}/{name}") as file:
+                    content, first = pq.ParquetFile(file), 0
+                    at, digest = part["row"].to_numpy(), part["digest"].to_numpy()
+                    for k in range(content.num_row_groups):
+                        end = first + content.metadata.row_group(k).num_rows
+                        if len(own := np.nonzero((at >= first) & (at < end))[0]):
+                            texts = content.read_row_group(k, columns=["norm"]).column(0)
+                            for j in range(0, len(own), 1000):
+                                some = own[j : j + 1000]
+                                yield pd.DataFrame({"digest": digest[some], "norm": texts.take(at[some] - first).to_pylist()})
+                        first = end
+
+    flat = rows.select("digest", "locator.file", "locator.row").repartition("file").sortWithinPartitions("file", "row")
+    return flat.mapInPandas(fetch, "digest string, norm string")
 
 
 def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of, files_per_batch: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,53 +129,43 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
 
     Texts are equal when they are after deleting ASCII white space; null counts as empty,
     and all empty texts are equal. Of equal texts the row with the most code points in its
-    original text stays, then the smallest id (a null id only if there is no other). If
-    rows repeat an id and a text, each of them is marked kept where that id is: they are
-    one document. An empty table gives an empty result; other columns are ignored.
-    ``digest`` can be replaced (a weak one shows that full texts decide).
+    original text stays, then the smallest id (a null id only if there is no other); ids of
+    any type that can be ordered will do. Exactly one row of a group is kept, also where
+    rows repeat an id and a text. An empty table gives an empty result; other columns are
+    ignored. ``digest`` can be replaced (a weak one shows that full texts decide).
     """
     spark = docs.sparkSession
-    table = new_folder(spark, "dedup-rows")
-    keyed(docs, digest, id_col, text_col).write.parquet(table)
-    schema = keyed(docs, digest, id_col, text_col).schema
-    id_type = schema["doc_id"].dataType.simpleString()
-    stream = spark.readStream.schema(T.StructType(schema.fields)).option("maxFilesPerTrigger", files_per_batch).parquet(table)
+    table = new_folder(spark, "dedup-content")
+    content = keyed(docs, digest, id_col, text_col)
+    schema, id_type = T.StructType(content.schema.fields), content.schema["doc_id"].dataType.simpleString()
+    content.write.parquet(table)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(table)
     out = new_folder(spark, "dedup-entries")
-    spark.createDataFrame([], f"digest string, best struct<length:bigint,known:boolean,rank:{id_type},doc_id:{id_type},locator:bigint>, group_size bigint").write.parquet(f"{out}/batch=-1")
-    run_stream(stream, new_folder(spark, "dedup-state"), out)
+    spark.createDataFrame([], entry_schema(id_type)).write.parquet(f"{out}/batch=-1")
+    run_stream(located(stream), new_folder(spark, "dedup-state"), out)
     entries = materialise(latest(spark, out, id_type), "dedup-state-read")
 
-    rows = spark.read.schema(schema).parquet(table)
-    marked = rows.join(entries, "digest")
-    false_hits = materialise(_false_hits(docs, entries, digest, id_col, text_col), "dedup-false")
+    marked = materialise(located(spark.read.schema(schema).parquet(table)).join(entries, "digest"), "dedup-marked")
+    false_hits = materialise(_false_hits(marked, table), "dedup-false")
     if not false_hits.isEmpty():
-        split = _by_whole_text(docs, false_hits, digest, id_col, text_col)
-        marked = marked.join(false_hits, "digest", "left_anti").select(*split.columns).unionByName(split)
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
-    shown = F.col("digest") if digest is sha256_of else None
-    if shown is None:  # a stand-in digest groups the rows, but the result names the real one
-        real = keyed(docs, sha256_of, id_col, text_col).select("doc_id", "length", "locator", F.col("digest").alias("sha")).distinct()
-        marked, shown = marked.join(real, ["length", "locator"]).where(marked["doc_id"].eqNullSafe(real["doc_id"])).drop(real["doc_id"]), F.col("sha")
-    return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), shown.alias("text_sha256"))
+        marked = marked.join(false_hits, "digest", "left_anti").select(marked.columns).unionByName(_by_whole_text(spark.read.schema(schema).parquet(table), false_hits))
+    kept = (F.col("locator.file") == F.col("keep.file")) & (F.col("locator.row") == F.col("keep.row"))
+    return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.coalesce("text_sha256", "digest").alias("text_sha256"))
 
 
-def _texts(docs: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length"), normalised(F.col(text_col)).alias("norm"))
-    return rows.withColumn("digest", digest(F.col("norm")))
+def _false_hits(marked: DataFrame, table: str) -> DataFrame:
+    """Digests that stand for several texts, by the full bytes of all rows that share one with another row."""
+    texts = texts_at(marked.where("group_size > 1").select("digest", "locator"), table)
+    return texts.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low != high").select("digest")
 
 
-def _false_hits(docs: DataFrame, entries: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    """Digests under which some row's full text differs from the one its entry points to."""
-    texts = _texts(docs, digest, id_col, text_col)
-    hits = texts.join(entries.where("group_size > 1"), "digest")
-    own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length")) & (F.xxhash64("norm") == F.col("keep_locator"))
-    found = hits.where(own).select("digest", F.col("norm").alias("stored")).dropDuplicates(["digest"])
-    return hits.where(~own).join(found, "digest").where(F.col("norm") != F.col("stored")).select("digest").distinct()
+def _by_whole_text(content: DataFrame, false_hits: DataFrame) -> DataFrame:
+    """Rows of these digests with the entry of their own whole text."""
+    rows = materialise(located_with_text(content).join(false_hits, "digest"), "dedup-split")
+    best = rows.groupBy("norm").agg(F.min(_better()).alias("best"), F.count("*").alias("group_size"))
+    entry = best.select("norm", F.col("best.doc_id").alias("keep_id"), F.col("best.locator").alias("keep"), "group_size")
+    return rows.join(entry, "norm").select("digest", "doc_id", "length", "text_sha256", "locator", "keep_id", "keep", "group_size")
 
 
-def _by_whole_text(docs: DataFrame, false_hits: DataFrame, digest: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    """Rows of these digests with the entry of their own whole text."""
-    texts = materialise(_texts(docs, digest, id_col, text_col).join(false_hits, "digest").withColumn("locator", F.xxhash64("norm")), "dedup-split")
-    best = texts.groupBy("norm").agg(F.max(_better()).alias("best"), F.count("*").alias("group_size"))
-    entry = best.select("norm", F.col("best.doc_id").alias("keep_id"), F.col("best.length").alias("keep_length"), F.col("best.locator").alias("keep_locator"), "group_size")
-    return texts.join(entry, "norm").select("digest", "doc_id", "length", "locator", "keep_id", "keep_length", "keep_locator", "group_size")
+def located_with_text(content: DataFrame) -> DataFrame:
+    return content.select("doc_id", "length", "digest", "text_sha256", "norm", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"))

@@ -45,5 +45,17 @@ def test_awkward(spark, awkward, empty):
     assert set(blank.keep_id) == {4} and set(blank.group_size) == {3} and blank.kept.sum() == 1
     first = got[got.doc_id.isin([0, 1])]
     assert set(first.keep_id) == {1} and set(first.group_size) == {3}  # the row with id 0 is there twice
+    assert got.kept.sum() == len({"".join((t or "").split()) for t in [*TEXTS, "no id"]})  # one row of each group
     assert got[got.doc_id.isna()].kept.all()
     assert stream_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_ids_of_other_types_and_one_row_of_repeated_ones(spark):
+    least = -(2**63)
+    rows = [(least, "a b"), (5, "ab "), (5, "ab "), (7, "a  b"), (7, "a  b"), (None, "a  b")]
+    got = stream_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas()
+    assert set(got.keep_id) == {7} and got.kept.sum() == 1 and got[got.kept].doc_id.tolist() == [7]
+    got = stream_dedup.exact_duplicates(spark.createDataFrame([(least, "x"), (0, "x")], "doc_id bigint, text string")).toPandas()
+    assert set(got.keep_id) == {least}
+    named = spark.createDataFrame([("b", "x y"), ("a", "xy "), ("c", "z" * 3_000_000), ("d", "z" * 3_000_000)], "doc_id string, text string")
+    assert rows_of(stream_dedup.exact_duplicates(named)) == brute([("b", "x y"), ("a", "xy "), ("c", "z" * 3_000_000), ("d", "z" * 3_000_000)])
