@@ -59,8 +59,7 @@ def op7_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = preference.preference_turns(*preference.last_reply_pairs(table(spark, sf_dir, "conversations")))
-    return turns.select("pair_id", "part", "position", "role", "start", F.md5(F.col("rendered").cast("binary")).alias("rendered_md5"), "loss_start", "loss_end")
+    return preference.pair_digests(*preference.last_reply_pairs(table(spark, sf_dir, "conversations")))
 
 
 def op9_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,27 +96,44 @@ WITH c AS (
 ), r AS (
   SELECT pair_id, max(turn) AS last_turn, arg_max(text, (turn, text)) AS reply FROM c WHERE role = 'assistant' GROUP BY pair_id
 ), rest AS (
-  SELECT c.* FROM c LEFT JOIN r USING (pair_id) WHERE last_turn IS NULL OR turn < last_turn
+  SELECT c.* FROM c LEFT JOIN r USING (pair_id) WHERE last_turn IS NULL OR turn IS NULL OR turn < last_turn
   UNION ALL
   SELECT r.pair_id, r.last_turn, 'assistant', o.reply FROM r JOIN r o ON o.pair_id = xor(r.pair_id, 1)
 ), b AS (
   SELECT 'chosen' AS side, * FROM c UNION ALL SELECT 'rejected', * FROM rest
 ), n AS (
-  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) - 1 AS position FROM b
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, same) - 1 AS position FROM (SELECT *, md5(length(role) || ':' || role || text) AS same FROM b)
 ), x AS (
-  SELECT pair_id, position, count(*) < 2 OR min(role || chr(10) || text) != max(role || chr(10) || text) AS differs FROM n GROUP BY pair_id, position
+  SELECT pair_id, position, count(*) < 2 OR min(same) != max(same) AS differs FROM n GROUP BY pair_id, position
 ), p AS (
   SELECT pair_id, coalesce(min(CASE WHEN differs THEN position END), max(position) + 1) AS prefix FROM x GROUP BY pair_id
 ), t AS (
   SELECT n.*, CASE WHEN position < prefix THEN 'prompt' ELSE side END AS part, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body
   FROM n JOIN p USING (pair_id) WHERE side = 'chosen' OR position >= prefix
 ), s AS (
-  SELECT *, coalesce(sum(length(head || body)) OVER (PARTITION BY pair_id, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t
+  SELECT *, length(head || body) AS n, coalesce(sum(length(head || body)) OVER (PARTITION BY pair_id, part ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t
+), l AS (
+  SELECT *, CASE WHEN part != 'prompt' AND role = 'assistant' THEN start + length(head) ELSE start + n END AS loss_start, start + n AS loss_end FROM s
+), m AS (
+  SELECT *, ('0x' || substr(md5(position || ':' || md5(head || body)), 1, 15))::BIGINT AS what, ('0x' || substr(md5(loss_start || ':' || loss_end), 1, 15))::BIGINT AS mask FROM l
 )
-SELECT pair_id, part, position, role, start, md5(head || body) AS rendered_md5,
-  CASE WHEN part != 'prompt' AND role = 'assistant' THEN start + length(head) ELSE start + length(head || body) END AS loss_start,
-  start + length(head || body) AS loss_end
-FROM s
+SELECT pair_id,
+  count(*) FILTER (part = 'prompt') AS prompt_turns,
+  coalesce(sum(n) FILTER (part = 'prompt'), 0)::BIGINT AS prompt_chars,
+  coalesce(bit_xor(what) FILTER (part = 'prompt'), 0) AS prompt_digest,
+  count(*) FILTER (part = 'chosen') AS chosen_turns,
+  coalesce(sum(n) FILTER (part = 'chosen'), 0)::BIGINT AS chosen_chars,
+  coalesce(bit_xor(what) FILTER (part = 'chosen'), 0) AS chosen_digest,
+  count(*) FILTER (part = 'chosen' AND loss_end > loss_start) AS chosen_spans,
+  coalesce(sum(loss_end - loss_start) FILTER (part = 'chosen'), 0)::BIGINT AS chosen_loss_chars,
+  coalesce(bit_xor(mask) FILTER (part = 'chosen' AND loss_end > loss_start), 0) AS chosen_mask,
+  count(*) FILTER (part = 'rejected') AS rejected_turns,
+  coalesce(sum(n) FILTER (part = 'rejected'), 0)::BIGINT AS rejected_chars,
+  coalesce(bit_xor(what) FILTER (part = 'rejected'), 0) AS rejected_digest,
+  count(*) FILTER (part = 'rejected' AND loss_end > loss_start) AS rejected_spans,
+  coalesce(sum(loss_end - loss_start) FILTER (part = 'rejected'), 0)::BIGINT AS rejected_loss_chars,
+  coalesce(bit_xor(mask) FILTER (part = 'rejected' AND loss_end > loss_start), 0) AS rejected_mask
+FROM m GROUP BY pair_id
 """
 
 
