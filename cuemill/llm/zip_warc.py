@@ -33,8 +33,8 @@ from .storage import materialise, new_folder
 LEAST_REVISIT = 100
 #: A package is closed when it holds so many bytes or records.
 PACKAGE_BYTES, PACKAGE_RECORDS = 256 << 20, 100_000
-#: Records whose offsets lie in one such stretch are read by one task.
-STRETCH_BYTES = 16 << 20
+#: Records whose offsets lie in one such stretch are read by one task, which reads about so many bytes.
+STRETCH_BYTES, TASK_BYTES = 1 << 20, 8 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -154,7 +154,8 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).alias("n"), F.sha2(html.cast("binary"), 256).alias("digest"))
     first = pages.select(F.col(id_col).cast("long").alias("page_id"), html.alias("html")).where(F.octet_length("html") >= LEAST_REVISIT).groupBy(F.sha2(F.col("html").cast("binary"), 256).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    joined = rows.join(first.where("copies > 1"), "digest", "left")
+    # written first, so that its size is known: a short list is broadcast and the pages stay where they are
+    joined = rows.join(materialise(first.where("copies > 1").select("digest", "first"), "warc-repeated"), "digest", "left")
     again = F.coalesce(F.col("n") >= LEAST_REVISIT, F.lit(False)) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -223,11 +224,11 @@ def read_index(packages: DataFrame) -> DataFrame:
                 entries = [json.loads(x.split(" ", 2)[2]) for x in lines if x]
                 yield pd.DataFrame({"package": package, "start": [base + e["offset"] for e in entries], "length": [e["length"] for e in entries]})
 
-    return packages.select("package").mapInPandas(read, "package string, start bigint, length bigint")
+    return packages.select("package").repartition(min(10_000, max(1, packages.count())), "package").mapInPandas(read, "package string, start bigint, length bigint")
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """Range-read and parse every record of an index."""
+def read_records(index: DataFrame, tasks: int = 8) -> DataFrame:
+    """Range-read and parse every record of an index, dealt over so many tasks by stretches of the packages."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -241,7 +242,7 @@ def read_records(index: DataFrame) -> DataFrame:
             out = pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
             yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    dealt = index.withColumn("stretch", F.floor(F.col("start") / STRETCH_BYTES)).repartition("package", "stretch").sortWithinPartitions("package", "start")
+    dealt = index.withColumn("stretch", F.floor(F.col("start") / STRETCH_BYTES)).repartition(tasks, "package", "stretch").sortWithinPartitions("package", "start")
     return dealt.select("package", "start", "length").mapInPandas(read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
@@ -251,7 +252,13 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Null html has an empty payload. Of equal payloads of at least 100 bytes, rows with the
     smallest page_id are responses and others revisit it; a null page_id counts as larger
     than any. Shorter payloads are responses. Repeated rows are written each. Null urls
-    have no target; an empty table gives no packages and no rows.
+    have no target; an empty table gives no packages and no rows. Ids are whole numbers;
+    other columns are ignored, whatever their names.
     """
     packages = write_packages(planned(pages, id_col, url_col, html_col), new_folder(pages.sparkSession, "warc"))
-    return read_records(read_index(packages))
+    return read_records(read_index(packages), tasks_for(packages))
+
+
+def tasks_for(packages: DataFrame) -> int:
+    """Reading tasks in proportion to what the packages hold."""
+    return max(1, -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))

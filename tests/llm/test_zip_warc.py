@@ -92,3 +92,15 @@ def test_revisits_and_packages(spark):
     got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in zip_warc.read_records(zip_warc.read_index(packages)).collect()}
     assert got == {(1, "response", None, 120), (2, "revisit", 1, 120), (3, "revisit", 1, 120), (None, "revisit", 1, 120), (4, "response", None, 99), (5, "response", None, 99), (6, "response", None, 0), (7, "response", None, 0), (8, "response", None, 150)}
     assert zip_warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_clashing_columns_large_pages_and_even_reading(spark):
+    rows = [(i, "http://x/", "é" * (3_000_000 if i == 1 else 200) + str(i % 7), "clash", i, "response") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest string, first bigint, record_type string").repartition(3)
+    packages = zip_warc.write_packages(zip_warc.planned(pages), new_folder(spark, "t"))
+    assert zip_warc.tasks_for(packages) == -(-packages.agg({"bytes": "sum"}).first()[0] // zip_warc.TASK_BYTES)
+    got = zip_warc.read_records(zip_warc.read_index(packages), 5)
+    assert got.rdd.getNumPartitions() == 5
+    by_id = {r.page_id: r for r in got.collect()}
+    assert len(by_id) == 300 and by_id[1].payload_bytes == 6_000_001 and by_id[1].record_type == "response"
+    assert by_id[8].refers_to is None and by_id[15].refers_to == 8 and by_id[15].record_type == "revisit"
