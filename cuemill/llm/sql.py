@@ -137,8 +137,8 @@ FROM m GROUP BY pair_id
 """
 
 
-def outliers_sql(cutoff: float = outliers.CUTOFF, steps: int = outliers.STEPS) -> str:
-    """The base counts, and the estimates with one block of common table expressions per concentration step."""
+def outliers_sql(cutoff: float = outliers.CUTOFF, steps: int = outliers.LEAST_STEPS) -> str:
+    """The base counts, and the estimates with one block of common table expressions per concentration step; more than these are taken where a determinant still falls after them."""
     names, floors = outliers.NAMES, [f * f for f in outliers.FLOORS.values()]
     p = range(len(names))
     pairs = [(i, j) for i in p for j in range(i + 1)]
@@ -149,10 +149,10 @@ def outliers_sql(cutoff: float = outliers.CUTOFF, steps: int = outliers.STEPS) -
         for k, (i, j) in enumerate(pairs):
             c = f"c_{i}{j}" + (f" + {floors[i]!r}::DOUBLE" if i == j else "")
             c = " - ".join([f"({c})", *(f"l_{i}{m} * l_{j}{m}" for m in range(j))])
-            value = f"sqrt(greatest({c}, {floors[i]!r}::DOUBLE))" if i == j else f"({c}) / l_{j}{j}"
+            value = f"sqrt({c})" if i == j else f"({c}) / l_{j}{j}"
             parts.append(f"{to}_{k} AS (SELECT *, {value} AS l_{i}{j} FROM {last})")
             last = f"{to}_{k}"
-        columns = ", ".join(["grp", *(f"m_{i}" for i in p), *(f"l_{i}{j}" for i, j in pairs)])
+        columns = ", ".join(["grp", "start", *(f"m_{i}" for i in p), *(f"l_{i}{j}" for i, j in pairs), "2 * (" + " + ".join(f"ln(l_{i}{i})" for i in p) + ") AS log_det"])
         return ", ".join([*parts, f"{to} AS MATERIALIZED (SELECT {columns} FROM {last})"])
 
     def distance(source: str, to: str) -> str:
@@ -162,6 +162,11 @@ def outliers_sql(cutoff: float = outliers.CUTOFF, steps: int = outliers.STEPS) -
             last = f"{to}_y{i}"
         return ", ".join([*parts, f"{to} AS (SELECT *, {' + '.join(f'y_{i} * y_{i}' for i in p)} AS d FROM {last})"])
 
+    def moments(source: str, to: str, widen: float) -> str:
+        sums = ", ".join([*(f"sum({names[i]}) AS s_{i}" for i in p), *(f"sum({names[i]} * {names[j]}) AS q_{i}{j}" for i, j in pairs)])
+        values = ", ".join([*(f"s_{i} / n AS m_{i}" for i in p), *(f"{widen!r}::DOUBLE * ((q_{i}{j} - s_{i} * s_{j} / n) / n) AS c_{i}{j}" for i, j in pairs)])
+        return f"{to}_s AS (SELECT grp, start, count(*)::DOUBLE AS n, {sums} FROM {source} GROUP BY grp, start), {to} AS (SELECT grp, start, {values} FROM {to}_s)"
+
     vectors = ", ".join(names)
     sql = f"""
 WITH t AS (
@@ -190,33 +195,36 @@ WITH t AS (
 ), gr AS MATERIALIZED (
   SELECT lang, source, level, [level::VARCHAR, CASE WHEN level > 0 THEN lang END, CASE WHEN level > 1 THEN source END]::VARCHAR || CASE WHEN lang IS NULL AND level > 0 THEN '-' ELSE '' END || CASE WHEN source IS NULL AND level > 1 THEN '-' ELSE '' END AS grp FROM y
 ), v AS MATERIALIZED (
-  SELECT k.grp, {vectors} FROM (SELECT DISTINCT grp, level, CASE WHEN level > 0 THEN lang END AS lang, CASE WHEN level > 1 THEN source END AS source FROM gr) k
+  SELECT k.grp, (word_chars * 31 + n_words) % {outliers.PARTS} AS part, {vectors} FROM (SELECT DISTINCT grp, level, CASE WHEN level > 0 THEN lang END AS lang, CASE WHEN level > 1 THEN source END AS source FROM gr) k
   JOIN b ON NOT b.base_failed AND (k.level < 1 OR b.lang IS NOT DISTINCT FROM k.lang) AND (k.level < 2 OR b.source IS NOT DISTINCT FROM k.source)
 ), q AS (
   SELECT grp, k, quantile_disc(x, 0.25) AS a, quantile_disc(x, 0.5) AS m, quantile_disc(x, 0.75) AS c
   FROM (SELECT grp, unnest({list(p)}) AS k, floor(unnest([{vectors}]) * 1000 + 0.5)::BIGINT AS x FROM v) GROUP BY grp, k
 ), s AS (
-  SELECT grp, {', '.join(f'max(CASE WHEN k = {i} THEN m / 1000.0::DOUBLE END) AS m_{i}' for i in p)},
+  SELECT grp, 0 AS start, {', '.join(f'max(CASE WHEN k = {i} THEN m / 1000.0::DOUBLE END) AS m_{i}' for i in p)},
     {', '.join((f'max(CASE WHEN k = {i} THEN (c / 1000.0::DOUBLE - a / 1000.0::DOUBLE) / 1.349::DOUBLE END) ** 2' if i == j else '0::DOUBLE') + f' AS c_{i}{j}' for i, j in pairs)}
   FROM q GROUP BY grp
-), {factored('s', 'fit0')}"""
+), o AS (
+  SELECT grp, 1 AS start, {vectors} FROM v UNION ALL SELECT grp, 2, {vectors} FROM v WHERE part = 0 UNION ALL SELECT grp, 3, {vectors} FROM v WHERE part = {outliers.PARTS // 2}
+), {moments('o', 'mo', 1.0)}, s0 AS (
+  SELECT * FROM s UNION ALL BY NAME SELECT * FROM mo
+), {factored('s0', 'fit0')}"""
     for k in range(1, steps + 1):
         sql += f""", j{k} AS (
   SELECT v.*, f.* EXCLUDE (grp) FROM v JOIN fit{k - 1} f ON v.grp = f.grp
 ), {distance(f'j{k}', f'd{k}')}, r{k} AS MATERIALIZED (
-  SELECT grp, {vectors}, floor(ln(1e-9::DOUBLE + d) * {outliers.PER_LOG})::BIGINT AS r FROM d{k}
+  SELECT grp, start, {vectors}, floor(ln(1e-9::DOUBLE + d) * {outliers.PER_LOG})::BIGINT AS r FROM d{k}
 ), h{k} AS (
-  SELECT grp, quantile_disc(r, 0.5) AS at FROM r{k} GROUP BY grp
-), g{k} AS (
-  SELECT r.grp, count(*)::DOUBLE AS n, {', '.join(f'sum({names[i]}) AS s_{i}' for i in p)}, {', '.join(f'sum({names[i]} * {names[j]}) AS q_{i}{j}' for i, j in pairs)}
-  FROM r{k} r JOIN h{k} h ON r.grp = h.grp WHERE r.r <= h.at GROUP BY r.grp
-), m{k} AS (
-  SELECT grp, {', '.join(f's_{i} / n AS m_{i}' for i in p)}, {', '.join(f'(q_{i}{j} - s_{i} * s_{j} / n) / n AS c_{i}{j}' for i, j in pairs)} FROM g{k}
-), {factored(f'm{k}', f'fit{k}')}"""
+  SELECT grp, start, quantile_disc(r, 0.5) AS at FROM r{k} GROUP BY grp, start
+), n{k} AS (
+  SELECT r.* FROM r{k} r JOIN h{k} h ON r.grp = h.grp AND r.start = h.start WHERE r.r <= h.at
+), {moments(f'n{k}', f'm{k}', outliers.CONSISTENCY)}, {factored(f'm{k}', f'fit{k}')}"""
     return (
         sql
-        + f""", judged AS (
-  SELECT b.*, f.* EXCLUDE (grp) FROM b LEFT JOIN gr ON b.lang IS NOT DISTINCT FROM gr.lang AND b.source IS NOT DISTINCT FROM gr.source LEFT JOIN fit{steps} f ON gr.grp = f.grp
+        + f""", best AS (
+  SELECT * FROM fit{steps} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY round(log_det, 6), start) = 1
+), judged AS (
+  SELECT b.*, f.* EXCLUDE (grp) FROM b LEFT JOIN gr ON b.lang IS NOT DISTINCT FROM gr.lang AND b.source IS NOT DISTINCT FROM gr.source LEFT JOIN best f ON gr.grp = f.grp
 ), {distance('judged', 'final')}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d <= {cutoff}, true) AS kept FROM final
 """
