@@ -67,15 +67,15 @@ def place(u: Column, p: Column) -> Column:
     return z / (F.lit(1.0) + z)
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for every row.
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (5, 2, 1), seed: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` for every row, and the columns to ``carry``.
 
     A row's size is its number of words (null text: 0); a null source is a source of its
     own, last in order. ``taken`` is ``copies`` times the size. Wordless documents get only
     the certain copies. A source without words, or a table without rows, has the target 0.
     Rows that repeat an id share its random number and are ranked by size, then text hash.
     """
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")), "mixing")
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), *carry), "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = materialise(targets(sizes, share, most, weights), "mixing-targets")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -97,7 +97,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     others = second.where("part is null or part_cut is null or part != part_cut").withColumn("drawn", F.when(F.col("place").isNull(), False).otherwise(drawn))
     both = others.unionByName(drawn_last.select(*others.columns))
     copies = F.col("sure") + F.col("drawn").cast("long")
-    return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return both.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *carry)
 
 
 def _cut(rows: DataFrame, keys: list[str], ranges: str, open_: str) -> DataFrame:

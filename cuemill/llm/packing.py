@@ -71,7 +71,7 @@ def ids_of(path: str, ranks: str | None, pattern: str | None) -> Ids:
     return Ids(path, ranks, pattern)
 
 
-def pieces(docs: DataFrame, path: str, limit: int, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", short_first: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, limit: int, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: documents with their end token, cut where longer than ``limit``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, path: str, limit: int, end_id: int = 0, ranks: str |
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
                 ids = np.array([*encode(value.as_py()), end_id], dtype="<u4")
-                first = (len(ids) - 1) % limit + 1 if short_first else limit
+                first = (len(ids) - 1) % limit + 1
                 for k, at in enumerate([0, *range(first, len(ids), limit)]):
                     part = ids[at : at + limit if k else first]
                     row.append(i), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
@@ -243,13 +243,15 @@ def packed(parts: DataFrame, limit: int) -> DataFrame:
     return ranked.select(*names, "rank").mapInArrow(put, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
-def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", short_first: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, ranks: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of every whole text with its sequence and offset there.
 
     Null texts count as empty and hold just the end token. Rows that repeat an id are
     packed each; their pieces are told apart by their places only. A null id is kept.
-    Longer documents are cut into pieces of ``limit`` tokens, of which one may be shorter:
-    the first with ``short_first``, else the last.
+    Longer documents are cut into pieces of ``limit`` tokens, of which the first may be
+    shorter. With ``ranks``, texts of long-settled characters below half a million of them
+    are read by the faster library of the same vocabulary, any other by the vocabulary
+    file's own; a test holds both to the same ids, character by character.
     An empty table gives an empty result; other columns are ignored.
     """
-    return packed(materialise(pieces(docs, path, limit, end_id, ranks, pattern, id_col, text_col, short_first), "pieces"), limit)
+    return packed(materialise(pieces(docs, path, limit, end_id, ranks, pattern, id_col, text_col), "pieces"), limit)

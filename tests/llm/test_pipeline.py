@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from . import test_mixing, test_outliers, test_simhash, test_stream_dedup
+from . import test_mixing, test_near_jaccard, test_outliers, test_stream_dedup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -44,7 +44,7 @@ def test_exact_stage(stages):
 
 def test_near_stage(stages):
     docs = stages[2].sort_values("doc_id")
-    classes = test_simhash.brute_classes([test_simhash.brute_print(t) for t in docs.text])
+    classes = test_near_jaccard.brute_classes(docs.text.tolist())  # five words, similarity of 0.8 or more
     assert sorted(stages[3].doc_id) == sorted({docs.doc_id.iloc[c] for c in classes})
 
 
@@ -90,3 +90,19 @@ def test_stages_take_awkward_rows(spark, awkward, empty, sf_dir, number):
     if name == "pack":
         assert set(ids) == set(range(11))
     assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_rows_without_an_id_or_with_a_repeated_one(spark, sf_dir):
+    """Each clean text keeps its row, whatever its id; rows alike in every column are one document."""
+    import random
+
+    rng = random.Random(7)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(100))
+    texts = [prose() for _ in range(60)]
+    rows = [(None if i < 5 else 7 if i < 10 else i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[20]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for number, copies in ((0, 62), (1, 60), (2, 60)):
+        got = corpus_pipeline.STAGES[number][1](spark, docs, sf_dir).toPandas()
+        assert len(got) == copies and set(got.text) == set(texts)
+    mixed = corpus_pipeline.mix(spark, docs, sf_dir).toPandas()
+    assert set(mixed.text) == set(texts) and len(mixed) >= 62
