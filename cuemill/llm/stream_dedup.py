@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialise, new_folder
+from .storage import materialise, new_folder, remove
 
 #: Fixed value: the characters that do not count when texts are compared.
 SPACE = "[ \\t-\\r]+"
@@ -142,13 +142,17 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(table)
     out = new_folder(spark, "dedup-entries")
     spark.createDataFrame([], entry_schema(id_type)).write.parquet(f"{out}/batch=-1")
-    run_stream(located(stream), new_folder(spark, "dedup-state"), out)
+    state = new_folder(spark, "dedup-state")
+    run_stream(located(stream), state, out)
     entries = materialise(latest(spark, out, id_type), "dedup-state-read")
 
     marked = materialise(located(spark.read.schema(schema).parquet(table)).join(entries, "digest"), "dedup-marked")
     false_hits = materialise(_false_hits(marked, table), "dedup-false")
     if not false_hits.isEmpty():
-        marked = marked.join(false_hits, "digest", "left_anti").select(marked.columns).unionByName(_by_whole_text(spark.read.schema(schema).parquet(table), false_hits))
+        split = _by_whole_text(spark.read.schema(schema).parquet(table), false_hits)
+        marked = materialise(marked.join(false_hits, "digest", "left_anti").select(marked.columns).unionByName(split), "dedup-marked")
+    for folder in (table, out, state):  # the result reads the marked rows only
+        remove(spark, folder)
     kept = (F.col("locator.file") == F.col("keep.file")) & (F.col("locator.row") == F.col("keep.row"))
     return marked.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.coalesce("text_sha256", "digest").alias("text_sha256"))
 
