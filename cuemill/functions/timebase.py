@@ -50,11 +50,22 @@ def _rounded(product: Column, divisor: Column, rounding: str) -> Column:
     return (whole + step).try_cast("bigint")
 
 
+def _rounded_small(product: Column, divisor: Column, rounding: str) -> Column:
+    """As ``_rounded``, where the product is a BIGINT."""
+    rest = product % divisor
+    whole = F.call_function("div", product - rest, divisor)
+    up, down = F.when(rest > 0, 1).otherwise(0), F.when(rest < 0, 1).otherwise(0)
+    near = F.abs(rest) >= divisor - F.abs(rest)
+    step = {ZERO: F.lit(0), INF: up - down, DOWN: -down, UP: up, NEAR: F.when(near, up - down).otherwise(0)}[rounding]
+    return whole + step
+
+
 def rescale(value: Column, multiplier: Column | int, divisor: Column | int, rounding: str = NEAR) -> Column:
     """value * multiplier / divisor; NEAR rounds halves away from zero, INF away from zero."""
     b, c = _lit(multiplier), _lit(divisor)
     ok = (b >= 0) & (c > 0)
-    return F.when(ok, _rounded(_wide(value) * _wide(b), _wide(F.when(c > 0, c)), rounding))
+    small = _rounded_small(F.try_multiply(value.try_cast("bigint"), F.when(b >= 0, b)), F.when(c > 0, c), rounding)
+    return F.when(ok, F.coalesce(small, _rounded(_wide(value) * _wide(b), _wide(F.when(c > 0, c)), rounding)))  # wide only where the product needs it
 
 
 def rescale_q(value: Column, src: Rate, dst: Rate, rounding: str = NEAR, pass_minmax: bool = False) -> Column:

@@ -295,9 +295,9 @@ def best_pixel_formats(spark, sf_dir):
     return decode.best_pixel_format(rows, "src", ["yuv420p", "yuv444p", "rgb24", "gray", "rgba"], True)
 
 
-@query("SELECT conv_id AS file_id, turn::BIGINT AS packet_index, 0::BIGINT AS item, 'cue' AS kind, role AS cue_id, substr(regexp_replace(coalesce(text, ''), '[\\n\\r]', ' ', 'g'), 1, 40) || '.' AS payload FROM conversations")
+@query("SELECT conv_id AS file_id, turn::BIGINT AS packet_index, 0::BIGINT AS item, 'cue' AS kind, role AS cue_id, regexp_replace(coalesce(text, ''), '[\\n\\r]', ' ', 'g') || '.' AS payload FROM conversations")
 def subtitle_cues(spark, sf_dir):
-    """WebVTT samples made from turns, parsed into cues."""
+    """WebVTT samples made from whole turns, parsed into cues."""
 
     @F.pandas_udf("binary")
     def sample(role: pd.Series, text: pd.Series) -> pd.Series:
@@ -306,7 +306,7 @@ def subtitle_cues(spark, sf_dir):
 
         return pd.Series([one(r, t) for r, t in zip(role, text)])
 
-    text = F.concat(F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]", " "), 1, 40), F.lit("."))
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]", " "), F.lit("."))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").cast("bigint").alias("packet_index"), sample("role", text).alias("payload"))
     return decode.webvtt_cues(rows).select("file_id", "packet_index", "item", "kind", "cue_id", "payload")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timebase as tb
@@ -9,7 +10,7 @@ from ..operators import packets as P
 from ..operators import probe
 from ..sources import adapters, media
 from .fragments import EVENT_PACKETS, FILES, micros_text, pcm, rounded
-from .registry import query, table
+from .registry import query, table, working_folder
 
 SLOTS = 256
 
@@ -100,11 +101,19 @@ def key_packets(spark, sf_dir):
 def write_order(spark, sf_dir):
     """The total packet order, with each packet's place in it: counts per file, then places within."""
     rows = event_packets(spark, sf_dir)
-    from pyspark.sql import Window
-
     sizes = rows.groupBy("file_id").agg(F.count("*").alias("n"))
-    base = sizes.select("file_id", (F.sum("n").over(Window.orderBy("file_id")) - F.col("n")).alias("base"))
-    return P.in_write_order(rows.join(base, "file_id").select("file_id", "packet_index", "pts", (F.col("base") + F.col("packet_index")).alias("place")))
+    return P.in_write_order(rows.join(first_places(spark, sizes), "file_id").select("file_id", "packet_index", "pts", (F.col("base") + F.col("packet_index")).alias("place")))
+
+
+def first_places(spark: SparkSession, sizes: DataFrame) -> DataFrame:
+    """``file_id, base``: the rows of all earlier files, from ``file_id, n``; files are dealt by ranges, and only a number per range is summed in one place."""
+    folder = working_folder(spark, "places")
+    sizes.repartitionByRange("file_id").withColumn("part", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.schema("file_id " + sizes.schema["file_id"].dataType.simpleString() + ", n bigint, part int").parquet(folder)
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("all"))
+    before = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("file_id")) - F.col("n")
+    return dealt.withColumn("within", within).join(before, "part").select("file_id", (F.col("before") + F.col("within")).alias("base"))
 
 
 @query(f"WITH {EVENT_PACKETS}, t AS (SELECT file_id, packet_index, codec FROM p JOIN (SELECT event_type, CASE event_type WHEN 'view' THEN 'video' WHEN 'click' THEN 'audio' ELSE 'data' END AS codec FROM k) USING (event_type)) SELECT file_id, packet_index, codec AS codec_type FROM t")

@@ -119,14 +119,14 @@ def image_runs(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn AS ord, CASE WHEN turn % 3 = 0 THEN upper(role) ELSE role END AS key, substr(coalesce(text, ''), 1, 12) AS value FROM conversations),
+    """WITH t AS (SELECT conv_id, turn AS ord, CASE WHEN turn % 3 = 0 THEN upper(role) ELSE role END AS key, coalesce(text, '') AS value FROM conversations),
 g AS (SELECT conv_id, lower(key) AS k, arg_max(key, ord) AS key, arg_max(value, ord) AS value, min(ord) AS first FROM t GROUP BY conv_id, lower(key))
 SELECT conv_id, string_agg(regexp_replace(key, '([\\\\=:])', '\\\\\\1', 'g') || '=' || regexp_replace(value, '([\\\\=:])', '\\\\\\1', 'g'), ':' ORDER BY first) AS pairs, count(*) AS n,
   max(CASE WHEN k = 'user' THEN value END) AS user_value, count(CASE WHEN k LIKE 'as%' THEN 1 END) AS with_prefix FROM g GROUP BY conv_id"""
 )
 def merged_tags(spark, sf_dir):
     """Tag rows merged into ordered lists, looked up and formatted as pairs."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("turn") % 3 == 0, F.upper("role")).otherwise(F.col("role")).alias("key"), F.substring(F.coalesce("text", F.lit("")), 1, 12).alias("value"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.when(F.col("turn") % 3 == 0, F.upper("role")).otherwise(F.col("role")).alias("key"), F.coalesce("text", F.lit("")).alias("value"))
     merged = TG.merge_tags(rows, ["conv_id"])
     return merged.select("conv_id", TG.format_pairs(F.col("tags")).alias("pairs"), F.size("tags").alias("n"), TG.tags_get(F.col("tags"), "USER").alias("user_value"), F.size(TG.tags_prefix(F.col("tags"), "AS")).alias("with_prefix"))
 
