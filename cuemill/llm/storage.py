@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The setting by which Spark removes the shuffle files of an execution at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Temporary folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
@@ -41,10 +43,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    The shuffle files of the write go when it is done: nothing needs them beside the table,
+    and else they lie on the executors' disks until the driver happens to collect garbage.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,3 +64,10 @@ def remove(spark: SparkSession, folder: str) -> None:
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_table(table: DataFrame) -> None:
+    """Delete the folder of a table as ``materialise`` returned it, once nothing reads it any more."""
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        remove(table.sparkSession, folder)
