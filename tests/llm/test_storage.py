@@ -31,3 +31,14 @@ def test_named_folder(spark):
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert storage.new_folder(spark, "x").startswith(f"{root}/x-")
     assert storage.materialise(spark.range(3), "x").count() == 3
+
+
+def test_removed_table_and_settings(spark):
+    before = spark.conf.get(storage.CLEAN_UP, None)
+    table = storage.materialise(spark.range(100).groupBy("id").count(), "x")
+    assert table.count() == 100 and spark.conf.get(storage.CLEAN_UP, None) == before
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    storage.remove_table(table)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
