@@ -8,7 +8,7 @@ from ..functions import digests
 from ..operators import fingerprint as FP
 from ..operators import packets as P
 from ..sources import adapters, media
-from .fragments import EVENT_PACKETS, FILES, TURN_PACKETS, pcm
+from .fragments import CRC_TABLE, EVENT_PACKETS, FILES, TURN_PACKETS, crc32_of_hex, pcm
 from .packet_queries import event_packets
 from .registry import query, table
 
@@ -78,9 +78,9 @@ def adler32_of_streams(spark, sf_dir):
     return FP.adler32_merge(parts, ["file_id", "stream_index"])
 
 
-@query()
+@query(f"WITH {TURN_PACKETS}, {CRC_TABLE}, w AS (SELECT file_id, stream_index, hex(encode(string_agg(text, '' ORDER BY packet_index))) AS h FROM p GROUP BY file_id, stream_index) SELECT file_id, stream_index, {crc32_of_hex('h')} AS digest FROM w, ct")
 def crc32_of_streams(spark, sf_dir):
-    """CRC-32 of streams from per-packet parts; equal to the ordered digest (tested)."""
+    """CRC-32 of streams from per-packet parts; payloads don't travel."""
     parts = turn_packets(spark, sf_dir).select("file_id", "stream_index", "packet_index", "size", F.crc32("payload").alias("crc"))
     return FP.crc32_merge(parts, ["file_id", "stream_index"])
 

@@ -54,3 +54,13 @@ def rounded(n: str, d: str, mode: str) -> str:
 def micros_text(value: str, num: str, den: str) -> str:
     m = rounded(f"abs({value})::HUGEINT * {num} * 1000000", den, "near")
     return f"(CASE WHEN {value} < 0 THEN '-' ELSE '' END || ({m} // 1000000)::VARCHAR || '.' || lpad(({m} % 1000000)::VARCHAR, 6, '0'))"
+
+
+#: CRC-32 of hexadecimal text: the table of all bytes by its rule, then a fold over the bytes.
+CRC_TABLE = "ct AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"
+
+
+def crc32_of_hex(h: str) -> str:
+    """The CRC-32 of the bytes in ``h``, with ``ct.t`` at hand."""
+    values = f"list_transform(range(1, length({h}) // 2 + 1), lambda i: ('0x' || {h}[2 * i - 1 : 2 * i])::BIGINT)"
+    return f"lower(printf('%08x', xor(4294967295, list_reduce([4294967295::BIGINT] || {values}, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])))))"

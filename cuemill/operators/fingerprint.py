@@ -11,6 +11,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -104,14 +105,18 @@ def adler_parts(payload: Column) -> tuple[Column, Column]:
     return value.bitwiseAND(F.lit(0xFFFF)), F.shiftright(value, 16)
 
 
+def _bytes_after(keys: list[str]) -> Column:
+    """Bytes of a key's packets behind this one: a running sum from the last packet on, which holds no stream in memory."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("packet_index"))
+    return F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def adler32_merge(parts: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:
     """Adler-32 of each key's concatenated payloads from ``packet_index, size, a, b`` of its packets.
 
     b of the whole adds, for each packet, its a once for every byte after it.
     """
-    w = Window.partitionBy(*keys).orderBy("packet_index")
-    after = F.sum("size").over(Window.partitionBy(*keys)) - F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    each = parts.select(*keys, "size", "a", ((F.col("b") + (after % ADLER) * F.col("a")) % ADLER).alias("part"))
+    each = parts.select(*keys, "size", "a", ((F.col("b") + (_bytes_after(keys) % ADLER) * F.col("a")) % ADLER).alias("part"))
     sums = each.groupBy(*keys).agg((F.sum("a") % ADLER).alias("a"), (F.sum("part") % ADLER).alias("b"), F.sum("size").alias("n"))
     a, b = (F.col("a") + seed) % ADLER, (F.col("b") + F.lit(seed) * (F.col("n") % ADLER)) % ADLER
     return sums.select(*keys, F.lpad(F.lower(F.hex(F.shiftleft(b, 16) + a)), 8, "0").alias("digest"))
@@ -123,26 +128,23 @@ def adler32_merge(parts: DataFrame, keys: list[str], seed: int = 1) -> DataFrame
 POLYNOMIAL = 0xEDB88320
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC's, lowest power in the highest bit."""
-    out, bit = 0, 1 << 31
-    while bit:
-        if a & bit:
-            out ^= b
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """Products of polynomials ``a`` with ``b`` modulo the CRC's, lowest power in the highest bit."""
+    out = np.zeros_like(a)
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> bit & 1, b, 0)
         b = b >> 1 ^ (POLYNOMIAL if b & 1 else 0)
-        bit >>= 1
     return out
 
 
-def crc_shift(crc: int, n_bytes: int) -> int:
-    """What ``crc`` becomes under ``n_bytes`` zero bytes, without pre- and post-conditioning."""
-    factor, power = 1 << 31, 1 << 23  # x^0 and x^8
-    while n_bytes:
-        if n_bytes & 1:
-            factor = _times(factor, power)
-        power = _times(power, power)
-        n_bytes >>= 1
-    return _times(factor, crc)
+def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each of ``crc`` becomes under its number of zero bytes, without pre- and post-conditioning; one step for each bit of the largest number."""
+    crc, n, power = crc.astype(np.int64), n_bytes.astype(np.int64), 1 << 23  # x^8
+    while n.any():
+        odd = (n & 1) == 1
+        crc[odd] = _times(crc[odd], power)
+        power, n = int(_times(np.array([power]), power)[0]), n >> 1
+    return crc
 
 
 def crc32_merge(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,11 +152,9 @@ def crc32_merge(parts: DataFrame, keys: list[str]) -> DataFrame:
 
     @F.pandas_udf("bigint")
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([crc_shift(int(c), int(n)) for c, n in zip(crc, after)], dtype="int64")
+        return pd.Series(crc_shift(crc.to_numpy(), after.to_numpy()))
 
-    w = Window.partitionBy(*keys).orderBy("packet_index")
-    after = F.sum("size").over(Window.partitionBy(*keys)) - F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    each = parts.select(*keys, "crc", after.alias("after")).withColumn("part", shifted("crc", "after"))
+    each = parts.select(*keys, "crc", _bytes_after(keys).alias("after")).withColumn("part", shifted("crc", "after"))
     return each.groupBy(*keys).agg(F.lpad(F.lower(F.hex(F.bit_xor("part"))), 8, "0").alias("digest"))
 
 
