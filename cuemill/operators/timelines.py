@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 
 from ..functions.timebase import delta_step, stable_step
 
+#: Rows of a timeline that are put out at once.
+BLOCK = 10_000
+
 
 def rescale_delta(packets: DataFrame, in_tb: tuple[int, int], fs_tb: tuple[int, int], out_tb: tuple[int, int]) -> DataFrame:
     """``file_id, stream_index, packet_index, pts``: timestamps in ``out_tb`` that follow the durations while these agree."""
@@ -44,6 +47,8 @@ def stable_timeline(streams: DataFrame, ts_tb: tuple[int, int], inc_tb: tuple[in
                 for i in range(int(n)):
                     ts = stable_step(int(ts), ts_tb, inc_tb)
                     rows.append((f, s, i, ts))
-                yield pd.DataFrame(rows, columns=["file_id", "stream_index", "n", "ts"])
+                    if len(rows) == BLOCK or i == n - 1:
+                        yield pd.DataFrame(rows, columns=["file_id", "stream_index", "n", "ts"])
+                        rows = []
 
     return streams.select("file_id", "stream_index", count, start).mapInPandas(fold, f"file_id {key}, stream_index int, n bigint, ts bigint")
