@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, maxent, mixing, outliers, packing, preference, simhash, stream_dedup, token_counts, zip_warc
+from . import line_dedup, maxent, mixing, multiset_hash, outliers, packing, periodic_runs, preference, simhash, stream_dedup, token_counts, whitening, zip_warc
 from .sql import ORACLES
 
 
@@ -70,8 +70,23 @@ def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality(table(spark, sf_dir, "documents")).drop("d")
 
 
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_packing, op3_maxent, op4_simhash, op5_line_dedup, op6_mixing, op7_stream_dedup, op8_preference, op9_zip_warc, op10_outliers)
+    for f in (
+        op1_token_counts, op2_packing, op3_maxent, op4_simhash, op5_line_dedup, op6_mixing, op7_stream_dedup, op8_preference, op9_zip_warc, op10_outliers,
+        op11_multiset_hash, op12_periodic_runs, op13_whitening,
+    )
 }
 ORACLE_SQL = ORACLES

@@ -1,11 +1,12 @@
 """DuckDB SQL that gives the rows of those queries that SQL can express.
 
-Tokenizers (1, 2), a trained model (3) and XXH64 fingerprints (4) are beyond it.
+Tokenizers (1, 2), a trained model (3), XXH64 fingerprints (4), union-find over suffix
+classes (12) and eigenvectors (13) are beyond it.
 """
 
 from __future__ import annotations
 
-from . import line_dedup, outliers
+from . import line_dedup, multiset_hash, outliers
 
 WORD_PATTERN = r"[^ \t-\r]+"
 SPACE_PATTERN = r"[ \t-\r]+"
@@ -231,6 +232,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     )
 
 
+def multiset_sql() -> str:
+    """Lanes as sums over unnested pieces; a word of the fingerprint is three lanes of 20 bits, 21 apart."""
+    bits, hashes, lanes = multiset_hash.BITS, multiset_hash.PER_HASH, range(3)
+    step, modulus = bits + 1, 1 << bits
+    words = ", ".join(f"('0x' || sha[{1 + multiset_hash.DIGITS * k} : {multiset_hash.DIGITS * (k + 1)}])::BIGINT AS w{k}" for k in range(hashes))
+    lane = lambda k, j, b: f"sum((w{k} >> {j + bits * b}) & 1) % {modulus}"
+    digest = lambda k, b: f"sum((w{k} >> {bits * b}) & {modulus - 1}) % {modulus}"
+    digests = ", ".join(f"[{', '.join(digest(k, b) for b in lanes)}]::BIGINT[] AS d{k}" for k in range(hashes))
+    signs = ", ".join(f"[{', '.join(lane(k, j, b) for b in lanes)}]::BIGINT[] AS s{k}_{j}" for k in range(hashes) for j in range(bits))
+    none = ", ".join(f"coalesce(s{k}_{j}, [0, 0, 0])" for k in range(hashes) for j in range(bits))
+    centred = lambda v: f"((({v}) % {modulus} + {3 * modulus // 2}) % {modulus} - {modulus // 2})"
+    square = lambda a, m: f"list_sum(list_transform({a}, lambda v: (2 * {centred('v')} - {centred(m)}) * (2 * {centred('v')} - {centred(m)})))"
+    apart = lambda a, b: square(f"list_transform(list_zip({a}.l, {b}.l), lambda z: z[1] - z[2])", f"{a}.n - {b}.n")
+    near = lambda a, b: f"CASE WHEN {a}.fp = {b}.fp THEN 1 WHEN {a}.sq + {b}.sq = 0 THEN 0 ELSE greatest(0::DOUBLE, 1::DOUBLE - ({apart(a, b)})::DOUBLE / ({a}.sq + {b}.sq)::DOUBLE) END"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS k, count(*) OVER () AS rows, doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents
+), e AS (
+  SELECT d.*, f.k AS next, left(d.text, d.n - d.n // 2) || left(f.text, d.n // 2) AS edited FROM d JOIN d f ON f.k = d.k % d.rows + 1
+), t AS (
+  SELECT k, 0 AS kind, text FROM e UNION ALL SELECT k, 1, edited FROM e
+), p AS (
+  SELECT k, kind, {words} FROM (SELECT k, kind, sha256(unnest(string_split(text, chr(10)))) AS sha FROM t)
+), s AS (
+  SELECT k, kind, {words} FROM (SELECT k, kind, sha256(unnest(list_filter(string_split_regex(text, '{multiset_hash.SENTENCE_END}'), lambda s: s != ''))) AS sha FROM t)
+), ps AS (
+  SELECT k, kind, {digests} FROM p GROUP BY k, kind
+), ss AS (
+  SELECT k, kind, (count(*) % {modulus})::BIGINT AS n, {signs} FROM s GROUP BY k, kind
+), v AS (
+  SELECT ps.k, ps.kind, [{', '.join(f'd{k}' for k in range(hashes))}] AS d, [{none}] AS s, coalesce(n, 0) AS n FROM ps LEFT JOIN ss ON ps.k = ss.k AND ps.kind = ss.kind
+), x AS MATERIALIZED (
+  SELECT k, kind, n, flatten(s) AS l, array_to_string(list_transform(d || s || [[n, 0, 0]], lambda w: printf('%016x', w[1] + (w[2] << {step}) + (w[3] << {2 * step}))), '') AS fp, {square('flatten(s)', 'n')} AS sq FROM v
+)
+SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, {near('a', 'b')} AS near_edited, {near('a', 'c')} AS near_next
+FROM e JOIN x a ON a.k = e.k AND a.kind = 0 JOIN x b ON b.k = e.k AND b.kind = 1 JOIN x c ON c.k = e.next AND c.kind = 0
+"""
+
+
 ORACLES: dict[str, str] = {
     "op5_line_dedup": LINES_SQL,
     "op6_mixing": mixing_sql(),
@@ -238,4 +278,5 @@ ORACLES: dict[str, str] = {
     "op8_preference": PREFERENCE_SQL,
     "op9_zip_warc": WARC_SQL,
     "op10_outliers": outliers_sql(),
+    "op11_multiset_hash": multiset_sql(),
 }
