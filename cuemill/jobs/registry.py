@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import working_folder as working_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -32,18 +32,3 @@ def query(sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: Temporary folders of local sessions that name none, by application.
-_OWN: dict[str, str] = {}
-
-
-def working_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share; on a local master a temporary one if that is unset."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="cuemill-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

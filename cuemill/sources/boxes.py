@@ -1,6 +1,7 @@
 """Byte layouts of containers: small parsers over one file's bytes, for vectorised helpers.
 
-Lengths in files lie, so every read is checked against its bounds; what doesn't fit raises
+``data`` is a file's bytes, or what reads them by range (``ranged.Ranged``); parsers take
+headers and tables by slices, and leave payloads alone where they are told so. Lengths in files lie, so every read is checked against its bounds; what doesn't fit raises
 ``Bad``, which becomes an error row and never fails a job.
 """
 
@@ -18,12 +19,17 @@ class Bad(Exception):
         self.kind = kind
 
 
-def need(data: bytes, at: int, n: int, what: str) -> bytes:
-    if at < 0 or n < 0 or at + n > len(data):
+def need(data: bytes, at: int, n: int, what: str, end: int | None = None) -> bytes:
+    if at < 0 or n < 0 or at + n > (len(data) if end is None else min(end, len(data))):
         raise Bad("EndOfFile", f"{what} is truncated")
     return data[at : at + n]
 
 
+def unpack(layout: str, data: bytes, at: int = 0) -> tuple:
+    """Numbers at a place; only the bytes they take are read."""
+    return struct.unpack(layout, data[at : at + struct.calcsize(layout)])
+
+
 # --- RIFF
 
 
@@ -32,7 +38,7 @@ def riff_chunks(data: bytes, at: int, end: int, what: str) -> Iterator[tuple[byt
     while at < end:
         if end - at < 8:
             raise Bad("EndOfFile", f"{what} chunk header is truncated")
-        name, n = struct.unpack_from("<4sI", data, at)
+        name, n = unpack("<4sI", data, at)
         if at + 8 + n > end:
             raise Bad("EndOfFile", f"{what} chunk exceeds its bounds")
         yield name, at + 8, at + 8 + n
@@ -44,7 +50,7 @@ def riff(data: bytes, form: bytes) -> int:
     head = need(data, 0, 12, "RIFF header")
     if head[:4] != b"RIFF" or head[8:] != form:
         raise Bad("InvalidData", f"not a RIFF file of form {form.decode()}")
-    end = 8 + struct.unpack_from("<I", head, 4)[0]
+    end = 8 + unpack("<I", head, 4)[0]
     if end < 12:
         raise Bad("InvalidData", "RIFF size is too small")
     if end > len(data):
@@ -56,7 +62,7 @@ def riff(data: bytes, form: bytes) -> int:
 PCM_GUID = bytes.fromhex("0100000000001000800000aa00389b71")
 
 
-def wav(data: bytes) -> dict:
+def wav(data: bytes, payloads: bool = True) -> dict:
     """First ``fmt ``, last ``data``; 16-bit PCM, extensible headers included."""
     end, fmt, body = riff(data, b"WAVE"), None, None
     for name, a, b in riff_chunks(data, 12, end, "WAV"):
@@ -64,8 +70,8 @@ def wav(data: bytes) -> dict:
             fmt = data[a:b]
             if len(fmt) < 16:
                 raise Bad("EndOfFile", "fmt chunk is shorter than 16 bytes")
-            if (tag := struct.unpack_from("<H", fmt)[0]) == 0xFFFE:
-                if len(fmt) < 40 or struct.unpack_from("<H", fmt, 16)[0] < 22:
+            if (tag := unpack("<H", fmt)[0]) == 0xFFFE:
+                if len(fmt) < 40 or unpack("<H", fmt, 16)[0] < 22:
                     raise Bad("InvalidData", "extensible fmt chunk is too short")
                 if fmt[24:40] != PCM_GUID:
                     raise Bad("Unsupported", "unsupported extensible sub-format")
@@ -75,8 +81,8 @@ def wav(data: bytes) -> dict:
             body = (a, b)
     if fmt is None or body is None:
         raise Bad("InvalidData", "missing fmt or data chunk")
-    channels, rate, byte_rate, align, bits = struct.unpack_from("<HIIHH", fmt, 2)
-    return {"channels": channels, "sample_rate": rate, "byte_rate": byte_rate, "block_align": align, "bits_per_sample": bits, "pos": body[0], "payload": data[body[0] : body[1]]}
+    channels, rate, byte_rate, align, bits = unpack("<HIIHH", fmt, 2)
+    return {"channels": channels, "sample_rate": rate, "byte_rate": byte_rate, "block_align": align, "bits_per_sample": bits, "pos": body[0], "size": body[1] - body[0], "payload": data[body[0] : body[1]] if payloads else None}
 
 
 def wav_error(info: dict) -> str | None:
@@ -92,12 +98,12 @@ def wav_error(info: dict) -> str | None:
     return None
 
 
-def avi(data: bytes) -> dict:
-    """Headers and packets; of repeated lists the last counts."""
+def avi(data: bytes, payloads: bool = True) -> dict:
+    """Headers and packets, without payloads as they are walked; of repeated lists the last counts."""
     end, header, streams, movi = riff(data, b"AVI "), None, [], None
     for name, a, b in riff_chunks(data, 12, end, "AVI"):
         if name == b"LIST":
-            kind = need(data[:b], a, 4, "list type")
+            kind = need(data, a, 4, "list type", b)
             if kind == b"hdrl":
                 header, streams = _avi_headers(data, a + 4, b)
             elif kind == b"movi":
@@ -108,7 +114,8 @@ def avi(data: bytes) -> dict:
         raise Bad("InvalidData", f"{header['streams']} streams are declared but {len(streams)} were found")
     if movi is None:
         raise Bad("InvalidData", "missing movi list")
-    return {"header": header, "streams": streams, "packets": list(_avi_packets(data, *movi, len(streams)))}
+    found = _avi_packets(data, *movi, len(streams), payloads)
+    return {"header": header, "streams": streams, "packets": list(found) if payloads else found}
 
 
 def _avi_headers(data: bytes, at: int, end: int) -> tuple[dict | None, list[dict]]:
@@ -117,7 +124,7 @@ def _avi_headers(data: bytes, at: int, end: int) -> tuple[dict | None, list[dict
         if name == b"avih":
             if b - a < 56:
                 raise Bad("EndOfFile", "avih is shorter than 56 bytes")
-            v = struct.unpack_from("<14I", data, a)
+            v = unpack("<14I", data, a)
             if not v[6] or not v[8] or not v[9]:
                 raise Bad("InvalidData", "stream count and dimensions must not be 0")
             header = {"microseconds_per_frame": v[0], "max_bytes_per_second": v[1], "total_frames": v[4], "streams": v[6], "width": v[8], "height": v[9]}
@@ -134,12 +141,12 @@ def _avi_stream(data: bytes, at: int, end: int) -> dict:
                 raise Bad("EndOfFile", "strh is shorter than 56 bytes")
             if data[a : a + 4] != b"vids":
                 raise Bad("Unsupported", f"unsupported stream type {data[a : a + 4]!r}")
-            scale, rate, _, length = struct.unpack_from("<4I", data, a + 20)
+            scale, rate, _, length = unpack("<4I", data, a + 20)
             out |= {"handler": data[a + 4 : a + 8].decode("latin-1"), "scale": scale, "rate": rate, "length": length}
         elif name == b"strf":
             if b - a < 40:
                 raise Bad("EndOfFile", "strf is shorter than 40 bytes")
-            size, width, height, planes, bits, compression = struct.unpack_from("<IiiHH4s", data, a)
+            size, width, height, planes, bits, compression = unpack("<IiiHH4s", data, a)
             if size < 40 or planes != 1:
                 raise Bad("InvalidData", "bad bitmap header")
             if width <= 0 or height == 0:
@@ -152,21 +159,21 @@ def _avi_stream(data: bytes, at: int, end: int) -> dict:
     return out
 
 
-def _avi_packets(data: bytes, at: int, end: int, streams: int) -> Iterator[dict]:
+def _avi_packets(data: bytes, at: int, end: int, streams: int, payloads: bool) -> Iterator[dict]:
     for name, a, b in riff_chunks(data, at, end, "movi"):
         if name == b"LIST":
             if data[a : a + 4] == b"rec ":
-                yield from _avi_packets(data, a + 4, b, streams)
+                yield from _avi_packets(data, a + 4, b, streams, payloads)
         elif name[:2].isdigit() and name[2:] in (b"db", b"dc", b"wb"):
             if int(name[:2]) >= streams:
                 raise Bad("InvalidData", f"packet of unknown stream {int(name[:2])}")
             if name[2:] == b"wb":
                 raise Bad("Unsupported", f"unsupported chunk {name!r}")
-            yield {"stream_index": int(name[:2]), "pos": a, "payload": data[a:b], "chunk_id": name}
+            yield {"stream_index": int(name[:2]), "pos": a, "size": b - a, "payload": data[a:b] if payloads else None, "chunk_id": name}
 
 
-def y4m(data: bytes) -> dict:
-    """Header and frames. A short last frame is dropped; blank lines before the first frame are skipped."""
+def y4m(data: bytes, payloads: bool = True) -> dict:
+    """Header and frames, each with its place and, if asked for, its payload; ``tail`` are the bytes behind the last whole frame. A short last frame is dropped; blank lines before the first frame are skipped."""
     at = data.find(b"\n")
     if at < 0:
         raise Bad("EndOfFile", "header line is truncated")
@@ -216,9 +223,9 @@ def y4m(data: bytes) -> dict:
             raise Bad("InvalidData", "frame header lacks FRAME")
         if end + 1 + size > len(data):
             break
-        frames.append((end + 1, data[end + 1 : end + 1 + size]))
+        frames.append((end + 1, data[end + 1 : end + 1 + size] if payloads else None))
         at = end + 1 + size
-    return {**info, "frames": frames}
+    return {**info, "frames": frames, "frame_bytes": size, "tail": len(data) - at}
 
 
 # --- MOV boxes
@@ -234,12 +241,12 @@ def boxes(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> I
     while at < end:
         if end - at < 8:
             raise Bad("EndOfFile", "box header is truncated")
-        size, kind = struct.unpack_from(">I4s", data, at)
+        size, kind = unpack(">I4s", data, at)
         head = 8
         if size == 1:
             if end - at < 16:
                 raise Bad("EndOfFile", "box header is truncated")
-            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+            size, head = unpack(">Q", data, at + 8)[0], 16
         elif size == 0:
             size = end - at
         if size < head or at + size > end:
@@ -258,15 +265,15 @@ def boxes(data: bytes, at: int = 0, end: int | None = None, path: str = "") -> I
 
 
 def _table(data: bytes, a: int, b: int, width: str, head: int = 8) -> list[tuple]:
-    n = struct.unpack(">I", need(data[:b], a + head - 4, 4, "table"))[0]
+    n = struct.unpack(">I", need(data, a + head - 4, 4, "table", b))[0]
     size = struct.calcsize(">" + width)
-    return list(struct.iter_unpack(">" + width, need(data[:b], a + head, n * size, "table")))
+    return list(struct.iter_unpack(">" + width, need(data, a + head, n * size, "table", b)))
 
 
 def _time(data: bytes, a: int, b: int) -> tuple[int, int | None]:
     """Timescale and duration of mvhd or mdhd; all ones mean unknown."""
-    wide = need(data[:b], a, 1, "header")[0] == 1
-    scale, length = struct.unpack(">IQ" if wide else ">II", need(data[:b], a + (20 if wide else 12), 12 if wide else 8, "header"))
+    wide = need(data, a, 1, "header", b)[0] == 1
+    scale, length = struct.unpack(">IQ" if wide else ">II", need(data, a + (20 if wide else 12), 12 if wide else 8, "header", b))
     return scale, None if length == (1 << (64 if wide else 32)) - 1 else length
 
 
@@ -293,29 +300,29 @@ def mov(data: bytes) -> dict:
 
 def _track_box(track: dict, data: bytes, kind: bytes, a: int, b: int) -> None:
     if kind == b"tkhd":
-        wide = need(data[:b], a, 1, "tkhd")[0] == 1
-        track["id"] = struct.unpack(">I", need(data[:b], a + (20 if wide else 12), 4, "tkhd"))[0]
-        w, h = struct.unpack(">II", need(data[:b], b - 8, 8, "tkhd"))
+        wide = need(data, a, 1, "tkhd", b)[0] == 1
+        track["id"] = struct.unpack(">I", need(data, a + (20 if wide else 12), 4, "tkhd", b))[0]
+        w, h = struct.unpack(">II", need(data, b - 8, 8, "tkhd", b))
         track["width"], track["height"] = (w >> 16) or None, (h >> 16) or None
     elif kind == b"mdhd":
         track["timescale"], track["duration"] = _time(data, a, b)
-        wide = need(data[:b], a, 1, "mdhd")[0] == 1
-        track["language"] = struct.unpack(">H", need(data[:b], a + (32 if wide else 20), 2, "mdhd"))[0]
+        wide = need(data, a, 1, "mdhd", b)[0] == 1
+        track["language"] = struct.unpack(">H", need(data, a + (32 if wide else 20), 2, "mdhd", b))[0]
     elif kind == b"hdlr" and "handler" not in track:
-        track["handler"] = need(data[:b], a + 8, 4, "hdlr").decode("latin-1")
+        track["handler"] = need(data, a + 8, 4, "hdlr", b).decode("latin-1")
         track["handler_name"] = data[a + 24 : b].split(b"\0")[0].decode("utf-8", "replace")
     elif kind == b"elst":
-        wide = need(data[:b], a, 1, "elst")[0] == 1
+        wide = need(data, a, 1, "elst", b)[0] == 1
         track["elst"] = [x[1] for x in _table(data, a, b, "QqI" if wide else "IiI")]
     elif kind == b"stsd":
         track["stsd"] = data[a:b]
     elif kind in (b"stts", b"ctts"):
-        signed = kind == b"ctts" and need(data[:b], a, 1, "ctts")[0] == 1
+        signed = kind == b"ctts" and need(data, a, 1, "ctts", b)[0] == 1
         track[kind.decode()] = _table(data, a, b, "Ii" if signed else "II")
     elif kind == b"stsc":
         track["stsc"] = _table(data, a, b, "III")
     elif kind == b"stsz":
-        size, n = struct.unpack(">II", need(data[:b], a + 4, 8, "stsz"))
+        size, n = struct.unpack(">II", need(data, a + 4, 8, "stsz", b))
         track["stsz"] = [(n, size)] if size else [(1, x[0]) for x in _table(data, a, b, "I", 12)]
     elif kind in (b"stco", b"co64"):
         track["stco"] = [x[0] for x in _table(data, a, b, "I" if kind == b"stco" else "Q")]
@@ -467,10 +474,10 @@ def ilst_items(data: bytes) -> tuple[list[tuple[str, str, str]], list[tuple[str,
             if kind == b"data" and {b"mean", b"name"} <= free[item].keys():
                 mean, name = (text_of(need(free[item][k], 4, len(free[item][k]) - 4, "text"), False) for k in (b"mean", b"name"))
                 if mean and name and name != "cdec":
-                    tags.append((owner, name, text_of(need(data[:b], a + 8, b - a - 8, "value"), False)))
+                    tags.append((owner, name, text_of(need(data, a + 8, b - a - 8, "value", b), False)))
         elif depth == 3 and kind == b"data":
             atom = parts[-2].rpartition("[")[0].encode("latin-1")
-            body = need(data[:b], a, 8, "metadata value")
+            body = need(data, a, 8, "metadata value", b)
             data_type, value = int.from_bytes(body[1:4], "big"), data[a + 8 : b]
             if atom == b"covr":
                 declared = {13: ("mjpeg", "image/jpeg"), 14: ("png", "image/png"), 27: ("bmp", "image/bmp")}.get(data_type)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import sample_tables
+from ..store import written
 from . import boxes
 
 PACKET = "packet_index bigint, stream_index int, pts bigint, dts bigint, duration bigint, size bigint, pos bigint, flags int, payload binary"
@@ -167,6 +168,15 @@ def mov_tracks(files: DataFrame) -> DataFrame:
     return map_files(files, schema, parse)
 
 
+def _track_tables(t: dict) -> Iterator[dict]:
+    for name in ("stts", "ctts", "stsz", "stsc"):
+        for i, row in enumerate(t.get(name, [])):
+            yield {"table": name, "track": t["index"], "ord": i, **dict(zip("abc", row))}
+    for name in ("stco", "stss", "elst"):
+        for i, v in enumerate(t.get(name, [])):
+            yield {"table": name, "track": t["index"], "ord": i, "a": v}
+
+
 def mov_tables(files: DataFrame) -> DataFrame:
     """Raw run-length tables as tagged rows ``table, track, ord, a, b, c``; nothing is expanded.
 
@@ -179,19 +189,31 @@ def mov_tables(files: DataFrame) -> DataFrame:
         for i, (a, b) in enumerate(movie["mdat"]):
             yield {"table": "mdat", "ord": i, "a": a, "b": b}
         for t in movie["tracks"]:
-            for name in ("stts", "ctts", "stsz", "stsc"):
-                for i, row in enumerate(t.get(name, [])):
-                    yield {"table": name, "track": t["index"], "ord": i, **dict(zip("abc", row))}
-            for name in ("stco", "stss", "elst"):
-                for i, v in enumerate(t.get(name, [])):
-                    yield {"table": name, "track": t["index"], "ord": i, "a": v}
+            yield from _track_tables(t)
 
     return map_files(files, "table string, track int, ord bigint, a bigint, b bigint, c bigint", parse)
 
 
 def mov_packets(files: DataFrame) -> DataFrame:
-    """``file_id, track, sample, size, pos, dts, pts, duration, flags, skip_samples`` of every track, by expanding its tables."""
-    raw = mov_tables(files).where("error is null")
+    """``file_id, track, sample, size, pos, dts, pts, duration, flags, skip_samples`` of every track, by expanding its tables.
+
+    Files are parsed once: tables and tracks go into one written table, from which the rest derives.
+    """
+
+    def parse(data: bytes) -> Iterator[dict]:
+        movie = boxes.mov(data)
+        for t in movie["tracks"]:
+            entry = boxes.sample_entry(t["stsd"]) if "stsd" in t else {}
+            yield {"table": "track", "track": t["index"], "a": next((m for m in t.get("elst", []) if m >= 0), 0), "codec": entry.get("fourcc")}
+            yield from _track_tables(t)
+
+    raw = written(map_files(files, "table string, track int, ord bigint, a bigint, b bigint, c bigint, codec string", parse).where("error is null"), "mov-tables", "table")
+    tracks = raw.where("table = 'track'").select("file_id", "track", F.col("a").alias("media_time"), "codec")
+    return expanded_packets(raw, tracks)
+
+
+def expanded_packets(raw: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Packets of every track from its raw tables (as of ``mov_tables``) and ``media_time, codec``."""
     key = ["file_id", "track"]
 
     def rows(name: str, **columns: str) -> DataFrame:
@@ -202,8 +224,7 @@ def mov_packets(files: DataFrame) -> DataFrame:
     offsets = rows("stco", chunk_offset="a").withColumn("chunk", F.col("ord") + 1).drop("ord")
     entries = sample_tables.chunk_runs(rows("stsc", first_chunk="a", samples_per_chunk="b"), offsets.groupBy(*key).agg(F.count("*").alias("chunk_count")))
     samples = sample_tables.assemble_samples(rows("stsz", **runs), rows("stts", **runs), rows("ctts", **runs), sync, entries.join(offsets, [*key, "chunk"]))
-    codec = mov_tracks(files).where("error is null").select(*key, F.coalesce("media_time", F.lit(0)).alias("media_time"), F.col("fourcc").alias("codec"))
-    return sample_tables.timeline(sample_tables.place_samples(samples), codec).select(*key, "sample", "size", "pos", "dts", "pts", "duration", "flags", "skip_samples")
+    return sample_tables.timeline(sample_tables.place_samples(samples), tracks).select(*key, "sample", "size", "pos", "dts", "pts", "duration", "flags", "skip_samples")
 
 
 def mov_tags(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A small MOV writer: one track of frames, for round trips and tests."""
+"""A small MOV writer: boxes and tracks for the streaming writer, and whole files of one track for round trips and tests."""
 
 from __future__ import annotations
 
@@ -45,6 +45,33 @@ def audio_entry(fourcc: bytes, channels: int, bits: int, rate: int, *kids: bytes
     return box(fourcc, b"\0" * 6, struct.pack(">H", 1), b"\0" * 8, struct.pack(">HHHHI", channels, bits, 0, 0, rate << 16), *kids)
 
 
+def track_box(number: int, handler: bytes, entry: bytes | None, timescale: int, samples: list[tuple[int, int, int]], chunks: list[list[int]], media_time: int | None = None, name: str = "") -> bytes:
+    """A ``trak`` of samples (size, duration, key) in chunks (64-bit offset, samples); a sync table only if some sample is no key."""
+    total = sum(d for _, d, _ in samples)
+    entries, at = [], 1
+    for n, per_chunk in runs([n for _, n in chunks]):
+        entries.append((at, per_chunk, 1))
+        at += n
+    stbl = [
+        full(b"stsd", struct.pack(">I", 1), entry or video_entry(b"raw ", 2, 2)),
+        _table(b"stts", runs([d for _, d, _ in samples]), "II"),
+        _table(b"stsc", entries, "III"),
+        full(b"stsz", struct.pack(">II", 0, len(samples)), *(struct.pack(">I", n) for n, _, _ in samples)),
+        _table(b"co64", [(o,) for o, _ in chunks], "Q"),
+    ]
+    if not all(k for _, _, k in samples):
+        stbl.append(_table(b"stss", [(i + 1,) for i, (_, _, k) in enumerate(samples) if k], "I"))
+    mdia = box(
+        b"mdia",
+        full(b"mdhd", struct.pack(">QQIQ", 0, 0, timescale, total), b"\0" * 4, version=1),
+        full(b"hdlr", b"\0" * 4, handler, b"\0" * 12, name.encode() + b"\0"),
+        box(b"minf", box(b"stbl", *stbl)),
+    )
+    tkhd = full(b"tkhd", struct.pack(">IIII", 0, 0, number, 0), b"\0" * 60, struct.pack(">II", 2 << 16, 2 << 16))
+    edts = box(b"edts", full(b"elst", struct.pack(">IQqI", 1, total, media_time, 1 << 16), version=1)) if media_time is not None else b""
+    return box(b"trak", tkhd, edts, mdia)
+
+
 def movie(
     frames: list[bytes],
     durations: list[int],
