@@ -29,9 +29,47 @@ def test_running_rescale(spark, sf_dir):
 
 
 def test_late_packets(spark):
-    packets = spark.createDataFrame([(1, 0, n, n, bytearray(b"x")) for n in (0, 1, 2)] + [(1, 0, 9, 1, bytearray(b"late"))], "file_id bigint, stream_index int, packet_index bigint, stream_packet bigint, payload binary")
+    packets = spark.createDataFrame([(1, 0, n, n, bytearray(b"x")) for n in (0, 1, 2)] + [(1, 0, 1, 1, bytearray(b"x"))], "file_id bigint, stream_index int, packet_index bigint, stream_packet bigint, payload binary")
     out = stream_queries.drive(spark, packets, running.stream_digest_running, "update", 1)
-    assert {r.late_packet for r in out.where("late").collect()} == {1}
+    assert [r.late_packet for r in out.where("late").collect()] == [1] and out.where("digest is not null").count() == 1
+
+
+def test_gaps_are_bounded(spark):
+    """Of more than three waiting packets the first is taken up and the missing ones are a gap; what comes for it then is late."""
+    def rows(*numbers):
+        return spark.createDataFrame([(1, 0, n, n, bytearray(b"%d" % n)) for n in numbers], "file_id bigint, stream_index int, packet_index bigint, stream_packet bigint, payload binary")
+
+    driven = stream_queries.Driven(spark, lambda p: running.stream_digest_running(p, most_waiting=3), "update")
+    driven.feed(rows(0, 3, 4, 6))
+    driven.feed(rows(7))
+    driven.feed(rows(1, 5))
+    out = driven.rows().collect()
+    assert [(r.gap_from, r.gap_to) for r in out if r.kind == "gap"] == [(1, 2)] and [r.late_packet for r in out if r.late] == [1]
+    last = max((r for r in out if r.kind == "digest"), key=lambda r: r.batch)
+    assert (last.packets, last.digest) == (6, f"{zlib.crc32(b'034567'):08x}")
+
+
+def test_gaps_end_with_the_watermark(spark):
+    """A packet that waits is taken up when the watermark is past its patience, over several runs from one checkpoint."""
+    def rows(at, *numbers):
+        df = spark.createDataFrame([(1, 0, n, n, bytearray(b"%d" % n)) for n in numbers], "file_id bigint, stream_index int, packet_index bigint, stream_packet bigint, payload binary")
+        return df.select("*", F.timestamp_seconds(F.lit(at)).alias("arrived"))
+
+    driven = stream_queries.Driven(spark, lambda p: running.stream_digest_running(p.withWatermark("arrived", "0 seconds"), patience=600), "update")
+    driven.feed(rows(1000, 0, 2, 4))
+    driven.feed(rows(1300, 0, 3))
+    assert not driven.rows().where("kind = 'gap'").count()
+    driven.feed(rows(9000, 5))
+    driven.feed(rows(20_000, 6))
+    out = driven.rows().collect()
+    assert [(r.gap_from, r.gap_to) for r in out if r.kind == "gap"] == [(1, 1)] and [r.late_packet for r in out if r.late] == [0]
+    last = max((r for r in out if r.kind == "digest"), key=lambda r: (r.batch, r.packets))
+    assert (last.packets, last.digest) == (6, f"{zlib.crc32(b'023456'):08x}")
+
+
+def test_crc_of_joined_pieces():
+    for a, b in ((b"", b""), (b"", b"x"), (b"abc", b""), (b"abc", bytes(1000)), (bytes(5), b"\0\1")):
+        assert running.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
 def test_arriving_files(spark, tmp_path):
