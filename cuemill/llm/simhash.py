@@ -32,6 +32,8 @@ SEED = 42
 SHARD_ROWS = 16_384
 #: Fingerprints from which the upper tree is built, and the most shards it may have.
 SAMPLE_ROWS, MOST_SHARDS = 32_768, 4_096
+#: Visitors that meet a chunk's rows in one group, in multiples of ``SHARD_ROWS``.
+SLICE_CHUNKS = 8
 #: Pairs that one numpy block compares.
 BLOCK_PAIRS = 1 << 20
 
@@ -150,10 +152,10 @@ def link_block(points: np.ndarray, rows: np.ndarray, asks: np.ndarray, radius: i
             classes.join(np.unique(np.stack([roots[part[i]], roots[rows[j]]], axis=1), axis=0))
 
 
-def link_chunk(points: np.ndarray, own: np.ndarray, radius: int) -> Classes:
-    """Classes of the points, linking own points with all others; visitors aren't compared with each other."""
+def link_chunk(points: np.ndarray, own: np.ndarray, radius: int, within: bool = True) -> Classes:
+    """Classes of the points, linking own points with visitors and, if ``within``, with each other; visitors aren't compared with each other."""
     classes = Classes(len(points))
-    stack = [(np.nonzero(own)[0], np.arange(len(points)))]
+    stack = [(np.nonzero(own)[0], np.arange(len(points)) if within else np.nonzero(~own)[0])]
     while stack:
         rows, asks = stack.pop()
         if not len(rows) or not len(asks):
@@ -210,12 +212,25 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         fps = rows["fp"].to_numpy()
-        up = link_chunk(fps.view(np.uint64), rows["own"].to_numpy(), radius).roots()
+        up = link_chunk(fps.view(np.uint64), rows["own"].to_numpy(), radius, bool((rows["slice"] == 0).all())).roots()
         moved = np.nonzero(up != np.arange(len(fps)))[0]
         return pd.DataFrame({"u": fps[moved], "v": fps[up[moved]]})
 
     routed = distinct.select("fp").mapInArrow(route, "shard bigint, chunk bigint, fp bigint, own boolean")
-    return routed.groupBy("shard", "chunk").applyInPandas(link, "u bigint, v bigint")
+    return sliced(materialise(routed, "simhash-routed"), SLICE_CHUNKS * shard_rows).groupBy("shard", "chunk", "slice").applyInPandas(link, "u bigint, v bigint")
+
+
+def sliced(routed: DataFrame, most: int) -> DataFrame:
+    """Adds ``slice``: a chunk's visitors are dealt over as many slices as keep each near ``most``, its own rows are in all of them.
+
+    So no group holds more than a chunk's own rows and about ``most`` visitors, however
+    many fingerprints visit a shard.
+    """
+    visitors = routed.where("not own").groupBy("shard", "chunk").agg(F.ceil(F.count("*") / most).cast("int").alias("slices"))
+    each = routed.join(visitors, ["shard", "chunk"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = each.where("own").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    others = each.where("not own").withColumn("slice", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int"))
+    return own.unionByName(others).drop("slices")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,3 +106,16 @@ def test_rows_without_an_id_or_with_a_repeated_one(spark, sf_dir):
         assert len(got) == copies and set(got.text) == set(texts)
     mixed = corpus_pipeline.mix(spark, docs, sf_dir).toPandas()
     assert set(mixed.text) == set(texts) and len(mixed) >= 62
+
+
+def test_clashing_names_stay(spark):
+    """Columns named like the stages' own, in either case and with a dot, come back as they were."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+    rows = [(i, " ".join(words[(i * 7 + k * (1 + i % 5)) % 24] + str(k % (i + 3)) for k in range(80)), "en", "ab"[i % 2], 10, f"key{i}", i, -i, "x", f"d{i}") for i in range(12)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "_row_key", "_copies", "_COPY", "copies", "a.b"]
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == names, name
+        found = [tuple(r) for r in got.collect()]
+        assert found and set(found) <= set(rows), name

@@ -64,6 +64,26 @@ def test_sharded_links_are_exact(spark):
         assert len(groups) == len(set(classes))
 
 
+def test_no_group_holds_all_visitors(spark):
+    """Of fingerprints that visit one chunk no more than the set number meet it in a group, every own row meets each, and links stay exact."""
+    from pyspark.sql import functions as F
+
+    routed = spark.range(20_000).select(F.lit(0).cast("bigint").alias("shard"), F.lit(0).cast("bigint").alias("chunk"), F.col("id").alias("fp"), (F.col("id") < 100).alias("own"))
+    per = simhash.sliced(routed, 1000).groupBy("slice").agg(F.sum(F.col("own").cast("int")).alias("own"), F.sum((~F.col("own")).cast("int")).alias("visitors")).collect()
+    assert len(per) == 20 and {r.own for r in per} == {100} and sum(r.visitors for r in per) == 19_900 and max(r.visitors for r in per) < 1300
+    points = clustered(1500, 7)
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp bigint")
+    before, simhash.SLICE_CHUNKS = simhash.SLICE_CHUNKS, 1
+    try:
+        got = {r.node: r.root for r in components(simhash.links(df, 4, 32)).collect()}
+    finally:
+        simhash.SLICE_CHUNKS = before
+    groups = {}
+    for p, c in zip(points.view(np.int64).tolist(), brute_classes(points)):
+        groups.setdefault(got.get(p, p), set()).add(c)
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(brute_classes(points)))
+
+
 def test_chunk_links_visitors():
     points = clustered(500, 9)
     own = np.arange(len(points)) % 3 != 0
