@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import digests
+from .running_totals import running
 
 STREAM = ["file_id", "stream_index"]
 PACKET = ["file_id", "packet_index", "stream_index", "pts", "dts", "duration", "size"]
@@ -105,10 +106,9 @@ def adler_parts(payload: Column) -> tuple[Column, Column]:
     return value.bitwiseAND(F.lit(0xFFFF)), F.shiftright(value, 16)
 
 
-def _bytes_after(keys: list[str]) -> Column:
-    """Bytes of a key's packets behind this one: a running sum from the last packet on, which holds no stream in memory."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("packet_index"))
-    return F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _with_bytes_after(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``after``, the bytes of a key's packets behind each one: a running sum from the last packet on, in blocks."""
+    return running(parts, keys, "packet_index", {"after": F.col("size")}, reverse=True).withColumn("after", F.coalesce("after", F.lit(0)))
 
 
 def adler32_merge(parts: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:
@@ -116,7 +116,7 @@ def adler32_merge(parts: DataFrame, keys: list[str], seed: int = 1) -> DataFrame
 
     b of the whole adds, for each packet, its a once for every byte after it.
     """
-    each = parts.select(*keys, "size", "a", ((F.col("b") + (_bytes_after(keys) % ADLER) * F.col("a")) % ADLER).alias("part"))
+    each = _with_bytes_after(parts, keys).select(*keys, "size", "a", ((F.col("b") + (F.col("after") % ADLER) * F.col("a")) % ADLER).alias("part"))
     sums = each.groupBy(*keys).agg((F.sum("a") % ADLER).alias("a"), (F.sum("part") % ADLER).alias("b"), F.sum("size").alias("n"))
     a, b = (F.col("a") + seed) % ADLER, (F.col("b") + F.lit(seed) * (F.col("n") % ADLER)) % ADLER
     return sums.select(*keys, F.lpad(F.lower(F.hex(F.shiftleft(b, 16) + a)), 8, "0").alias("digest"))
@@ -154,7 +154,7 @@ def crc32_merge(parts: DataFrame, keys: list[str]) -> DataFrame:
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(crc_shift(crc.to_numpy(), after.to_numpy()))
 
-    each = parts.select(*keys, "crc", _bytes_after(keys).alias("after")).withColumn("part", shifted("crc", "after"))
+    each = _with_bytes_after(parts, keys).select(*keys, "crc", "after").withColumn("part", shifted("crc", "after"))
     return each.groupBy(*keys).agg(F.lpad(F.lower(F.hex(F.bit_xor("part"))), 8, "0").alias("digest"))
 
 

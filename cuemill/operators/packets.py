@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timebase
 from ..sources.adapters import CORRUPT, DISCARD, KEY
+from .running_totals import running
 
 STREAM = ("file_id", "stream_index")
 
@@ -29,9 +30,8 @@ def filter_packets(packets: DataFrame, stream_index: int | None = None, key_only
 
 def number_frames(packets: DataFrame) -> DataFrame:
     """Per-stream frame numbers and running durations, both from 0, in write order."""
-    w = Window.partitionBy(*STREAM).orderBy("packet_index")
-    before = F.coalesce(F.sum("duration").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return packets.withColumn("frame_number", (F.row_number().over(w) - 1).cast("bigint")).withColumn("running_pts", before)
+    found = running(packets, list(STREAM), "packet_index", {"frame_number": F.lit(1).cast("bigint"), "running_pts": F.col("duration")})
+    return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("frame_number", "running_pts")})
 
 
 def stream_stats(packets: DataFrame, dense: bool = True) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Files from this size on are not read as one row.
@@ -103,12 +103,28 @@ def contiguous_run(numbers: DataFrame, keys: list[str], number: str = "number",
     """Rows of the first unbroken run that begins in ``start_number .. start_number + window - 1``, with ``pts`` from 0.
 
     A group whose first number lies beyond that has no rows; numbers must be distinct in a group.
+    The run ends at the least number whose successor is missing, which an anti-join on
+    numbers finds; only keys and numbers take part, other columns (payloads) wait for the
+    bounds of their group, one row each.
     """
-    rows = numbers.where(F.col(number) >= start_number)
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_island", F.col(number) - F.row_number().over(w.orderBy(number))).withColumn("_first", F.min(number).over(w))
-    run = ranked.where((F.col("_first") < start_number + window) & (F.col("_island") == F.col("_first") - 1))
-    return run.withColumn("pts", F.col(number) - F.col("_first")).drop("_island", "_first")
+    narrow = numbers.where(F.col(number) >= start_number).select(*keys, F.col(number).alias("_n"))
+    successors = narrow.select(*[F.col(k).alias(f"_s_{k}") for k in keys], (F.col("_n") - 1).alias("_s_n"))
+    follows = F.col("_n") == F.col("_s_n")
+    for k in keys:
+        follows = follows & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+    ends = narrow.join(successors, follows, "left_anti").groupBy(*keys).agg(F.min("_n").alias("_end"))
+    firsts = narrow.groupBy(*keys).agg(F.min("_n").alias("_first")).where(F.col("_first") < start_number + window)
+    b = firsts.join(ends.select(*[F.col(k).alias(f"_e_{k}") for k in keys], "_end"), _equal(keys, "", "_e_")).select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_first", "_end")
+    run = numbers.join(b, _equal(keys, "", "_b_") & F.col(number).between(F.col("_first"), F.col("_end")))
+    return run.select(*numbers.columns, (F.col(number) - F.col("_first")).alias("pts"))
+
+
+def _equal(keys: list[str], a: str, b: str) -> Column:
+    """Keys with two prefixes are the same, nulls included."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(a + k).eqNullSafe(F.col(b + k))
+    return out
 
 
 def image_sequence(files: DataFrame, pattern: str, start_number: int = 0) -> tuple[DataFrame, DataFrame]:
