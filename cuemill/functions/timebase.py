@@ -259,23 +259,28 @@ def div_round(n: int, d: int, rounding: str = NEAR) -> int:
     return sign * (q + more)
 
 
+def _to(v: int, src: tuple[int, int], dst: tuple[int, int], rounding: str = NEAR) -> int:
+    return div_round(v * src[0] * dst[1], src[1] * dst[0], rounding)
+
+
+def delta_range(ts: int, duration: int, in_tb: tuple[int, int], fs_tb: tuple[int, int], out_tb: tuple[int, int]) -> tuple[int, int, int, int] | None:
+    """Which ``last`` a timestamp follows: from the first to the fourth, moved into the range from the second to the third; None if it never does."""
+    if not duration or in_tb[0] * out_tb[1] <= out_tb[0] * in_tb[1]:
+        return None
+    low, high = _to(2 * ts - 1, in_tb, fs_tb, DOWN) >> 1, (_to(2 * ts + 1, in_tb, fs_tb, UP) + 1) >> 1
+    return 2 * low - high, low, high, 2 * high - low
+
+
 def delta_step(ts: int, duration: int, last: int | None, in_tb: tuple[int, int], fs_tb: tuple[int, int], out_tb: tuple[int, int]) -> tuple[int, int]:
     """One step of drift-free rescaling: (output, new last).
 
     ``last`` is where the next sample should begin, in ``fs_tb``. As long as it lies near
     the rounding range of the timestamp it is followed; otherwise the timestamp counts.
     """
-
-    def to(v: int, src: tuple[int, int], dst: tuple[int, int], rounding: str = NEAR) -> int:
-        return div_round(v * src[0] * dst[1], src[1] * dst[0], rounding)
-
-    finer = in_tb[0] * out_tb[1] <= out_tb[0] * in_tb[1]
-    if last is not None and duration and not finer:
-        low, high = to(2 * ts - 1, in_tb, fs_tb, DOWN) >> 1, (to(2 * ts + 1, in_tb, fs_tb, UP) + 1) >> 1
-        if 2 * low - high <= last <= 2 * high - low:
-            at = min(max(last, low), high)
-            return to(at, fs_tb, out_tb), at + duration
-    return to(ts, in_tb, out_tb), to(ts, in_tb, fs_tb) + duration
+    if last is not None and (edges := delta_range(ts, duration, in_tb, fs_tb, out_tb)) and edges[0] <= last <= edges[3]:
+        at = min(max(last, edges[1]), edges[2])
+        return _to(at, fs_tb, out_tb), at + duration
+    return _to(ts, in_tb, out_tb), _to(ts, in_tb, fs_tb) + duration
 
 
 def stable_step(ts: int, ts_tb: tuple[int, int], inc_tb: tuple[int, int], inc: int = 1) -> int:
