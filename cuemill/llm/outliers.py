@@ -8,8 +8,8 @@ half of the rows nearest to the last centre until no determinant falls any more,
 smallest wins. A half's scatter is widened by the factor that makes it right for normal
 data. A row is rejected when its squared Mahalanobis distance exceeds a cutoff.
 
-Everything is DataFrame functions. Per step one pass sums moments per group and start, and
-one counts distances in fixed ranges, both combined before the shuffle, so that a group of
+Everything is DataFrame functions. A step is one pass over the rows that sums moments per
+group, start and fixed range of distances, combined before the shuffle, so that a group of
 any size costs each task a few numbers. The half is cut at the end of such a range. The
 scatter that is compared and used is regularised: the squares of least spreads are added
 to its diagonal, since counts that are nearly always zero would make it singular.
@@ -112,11 +112,18 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
+def _sums() -> list[Column]:
+    """What moments are made of: number of rows, sums and products."""
+    return [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(NAMES)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q_{i}{j}") for i, j in _pairs()]]
+
+
 def _moments(rows: DataFrame, widen: float = CONSISTENCY) -> DataFrame:
     """Centre, factor of the regularised scatter and logarithm of its determinant per group and start."""
-    n = F.count("*").cast("double")
-    sums = [F.sum(x).alias(f"s_{i}") for i, x in enumerate(NAMES)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q_{i}{j}") for i, j in _pairs()]
-    g = rows.groupBy("grp", "start").agg(n.alias("n"), *sums)
+    return _fitted(rows.groupBy("grp", "start").agg(*_sums()), widen)
+
+
+def _fitted(g: DataFrame, widen: float) -> DataFrame:
+    """From ``_sums`` per group and start to centre and factor."""
     return _factored(g.select("grp", "start", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(len(NAMES))], *[(F.lit(widen) * ((F.col(f"q_{i}{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")) / F.col("n"))).alias(f"c_{i}{j}") for i, j in _pairs()]))
 
 
@@ -142,15 +149,6 @@ def _range(d: Column) -> Column:
     return F.floor(F.log(F.lit(1e-9) + d) * PER_LOG)
 
 
-def _half(rows: DataFrame) -> DataFrame:
-    """For each group and start the first range at which half of its rows lie at or below it."""
-    per = rows.groupBy("grp", "start", "r").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("grp", "start")
-    run = F.sum("n").over(w.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    per = per.select("grp", "start", "r", run.alias("run"), F.sum("n").over(w).alias("all"))
-    return per.where(F.col("run") >= F.lit(0.5) * F.col("all")).groupBy("grp", "start").agg(F.min("r").alias("at"))
-
-
 def _medians(rows: DataFrame) -> DataFrame:
     """Start 0: medians as centre, spreads between the quartiles as a diagonal scatter; values in steps of 1/1000."""
     long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(x) * 1000 + 0.5).cast("long").alias("v")) for i, x in enumerate(NAMES)])).alias("z")).select(F.struct("grp", "z.k").alias("grp"), "z.v")
@@ -171,9 +169,18 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 
 def concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """One step: each start's fit on the half of its group that is nearest to it."""
-    near = _distance(rows.join(fit, "grp")).withColumn("r", _range(F.col("d"))).select("grp", "start", *NAMES, "r")
-    return _moments(near.join(_half(near), ["grp", "start"]).where(F.col("r") <= F.col("at")))
+    """One step: each start's fit on the half of its group that is nearest to it.
+
+    Rows are met once: sums are kept for every range of distances, and the half is the
+    sums of the ranges up to the one in which half of the rows is reached.
+    """
+    near = _distance(rows.join(fit, "grp")).withColumn("r", _range(F.col("d")))
+    per = near.groupBy("grp", "start", "r").agg(*_sums())
+    w = Window.partitionBy("grp", "start")
+    before = F.coalesce(F.sum("n").over(w.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    half = per.withColumn("before", before).withColumn("all", F.sum("n").over(w)).where(F.col("before") < F.lit(0.5) * F.col("all"))
+    names = [c for c in per.columns if c not in ("grp", "start", "r")]
+    return _fitted(half.groupBy("grp", "start").agg(*[F.sum(c).alias(c) for c in names]), CONSISTENCY)
 
 
 def estimates(rows: DataFrame, most_steps: int = MOST_STEPS) -> DataFrame:
