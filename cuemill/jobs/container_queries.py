@@ -287,12 +287,32 @@ def channel_layouts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(decode.channel_names(mask), "+").alias("names"), decode.layout_for_mask(mask).alias("layout"), decode.layout_for_count(kind + 1).alias("by_count"))
 
 
-@query()
+_CHOICES = ["yuv420p", "yuv444p", "rgb24", "gray", "rgba", "pal8", "p010le", "monob", "gbrp12le"]
+
+
+def _formats_sql() -> str:
+    """The scores of all pairs of a known format and a candidate, then the best per format."""
+    rows = ", ".join(f"('{f.name}', '{f.color}', {f.depths}::INT[], {f.chroma_w}, {f.chroma_h}, {f.alpha}, {f.paletted}, {decode.padded_bits(f)}, {i})" for i, f in enumerate(dims.PIXEL_FORMATS))
+    accepted = "CASE d.color WHEN 'rgb' THEN s.color IN ('rgb', 'gray') WHEN 'yuvj' THEN s.color IN ('yuvj', 'yuv', 'gray') ELSE s.color = d.color END"
+    chroma = " ".join(f"- CASE WHEN d.{c} > s.{c} THEN 256 << d.{c} WHEN d.{c} < s.{c} THEN 1 << (s.{c} - d.{c}) ELSE 0 END" for c in ("w", "h"))
+    return f"""WITH f(name, color, depths, w, h, alpha, pal, bits, i) AS (VALUES {rows}),
+c AS (SELECT f.*, list_position({_CHOICES!r}, name) AS ord FROM f WHERE list_contains({_CHOICES!r}, name)),
+x AS (SELECT s.name AS src, d.name AS best, d.bits, len(d.depths) AS parts, d.ord, s.i, least(len(s.depths), CASE WHEN d.pal THEN 4 ELSE len(d.depths) END) AS n, s AS s, d AS d FROM f s, c d),
+y AS (SELECT *, CASE WHEN len(s.depths) = 0 THEN CASE WHEN src = best THEN -1 ELSE -2 END WHEN src = best THEN 2147483647 ELSE 2147483646
+  + coalesce(list_sum(list_transform(range(1, n + 1), lambda k: CASE WHEN s.depths[k] - 1 > (CASE WHEN d.pal THEN 7 // n ELSE d.depths[k] - 1 END) THEN -(65536 >> (CASE WHEN d.pal THEN 7 // n ELSE d.depths[k] - 1 END)) ELSE s.depths[k] - 1 - (CASE WHEN d.pal THEN 7 // n ELSE d.depths[k] - 1 END) END)), 0)
+  {chroma} + CASE WHEN d.w = 1 AND d.h = 1 AND s.w = 0 AND s.h = 0 THEN 512 WHEN d.w = 1 AND d.h = 1 AND s.w = 2 AND s.h = 2 THEN 4 ELSE 0 END
+  - CASE WHEN {accepted} THEN 0 ELSE (n * 65536) >> (least(s.depths[1], d.depths[1]) - 1) END - CASE WHEN d.color = 'gray' AND s.color != 'gray' THEN 131072 ELSE 0 END
+  - CASE WHEN s.alpha AND NOT d.alpha THEN 65536 ELSE 0 END - CASE WHEN d.pal AND NOT s.pal AND (s.color != 'gray' OR s.alpha) THEN 65536 ELSE 0 END END AS score FROM x),
+z AS (SELECT src, i, best FROM y QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, bits, parts, ord) = 1)
+SELECT o_orderkey, src, best FROM orders JOIN z ON z.i = o_orderkey % {len(dims.PIXEL_FORMATS)}"""
+
+
+@query(_formats_sql())
 def best_pixel_formats(spark, sf_dir):
     """The candidate that loses least from every source format, by order."""
     names = F.array(*[F.lit(f.name) for f in dims.PIXEL_FORMATS])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.get(names, (F.col("o_orderkey") % len(dims.PIXEL_FORMATS)).cast("int")).alias("src"))
-    return decode.best_pixel_format(rows, "src", ["yuv420p", "yuv444p", "rgb24", "gray", "rgba"], True)
+    return decode.best_pixel_format(rows, "src", _CHOICES, True)
 
 
 @query("SELECT conv_id AS file_id, turn::BIGINT AS packet_index, 0::BIGINT AS item, 'cue' AS kind, role AS cue_id, regexp_replace(coalesce(text, ''), '[\\n\\r]', ' ', 'g') || '.' AS payload FROM conversations")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import boxes
@@ -39,16 +39,19 @@ def validate_payload_len(packets: DataFrame, expected: Column | int, exact: bool
 
 
 def plane_sizes(name: str, width: Column, height: Column) -> Column:
-    """Bytes of each plane as ARRAY<BIGINT>; null where dimensions aren't positive or chroma doesn't divide them."""
+    """Bytes of each plane as ARRAY<BIGINT>; null where dimensions aren't positive or chroma doesn't divide them, and for frames that live in devices."""
     f = next((x for x in dims.PIXEL_FORMATS if x.name == name), None)
     if f is None:
         raise ValueError(f"no geometry for pixel format {name!r}")
+    if not f.plane_bytes:
+        return F.lit(None).cast("array<bigint>")
     w, h = width.cast("bigint"), height.cast("bigint")
-    cw, ch = 1 << f.chroma_w, 1 << f.chroma_h
-    ok = (w > 0) & (h > 0) & (w % cw == 0) & (h % ch == 0)
+    ok = (w > 0) & (h > 0)
+    if not f.loose:
+        ok = ok & (w % (1 << f.chroma_w) == 0) & (h % (1 << f.chroma_h) == 0)
+    groups = w if f.group == 1 else F.floor((w + f.group - 1) / f.group)
     chroma = F.shiftright(w, f.chroma_w) * F.shiftright(h, f.chroma_h)
-    subsampled = f.color in ("yuv", "yuvj")
-    planes = [(chroma if subsampled and i in (1, 2) else w * h) * b for i, b in enumerate(f.plane_bytes)]
+    planes = [(chroma if f.planar_chroma and i in (1, 2) else groups * h) * b for i, b in enumerate(f.plane_bytes)]
     return F.when(ok, F.array(*planes))
 
 
@@ -112,56 +115,65 @@ def layout_for_count(channels: Column) -> Column:
 
 # --- choosing a pixel format
 
-BASE, BEST = 1 << 29, (1 << 31) - 2
-
-
-def conversion_score(src: dims.PixelFormat, dst: dims.PixelFormat, has_alpha: bool) -> int:
-    """How little a conversion loses; higher is better. Fewer bits, coarser chroma, another colour model and lost alpha cost."""
-    if src == dst:
-        return BEST
-    score, n = BASE, min(len(src.depths), len(dst.depths))
-    for s, d in zip(src.depths, dst.depths):
-        if s > d:
-            score -= 65536 >> (d - 1)
-        elif s < d:
-            score -= d - s
-    for s, d in ((src.chroma_w, dst.chroma_w), (src.chroma_h, dst.chroma_h)):
-        if d > s:
-            score -= 256 << d
-        elif d < s:
-            score -= 1 << (s - d)
-    shifts = (src.chroma_w, src.chroma_h, dst.chroma_w, dst.chroma_h)
-    score += {(0, 0, 1, 1): 512, (2, 2, 1, 1): 4}.get(shifts, 0)
-    accepts = {"rgb": ("rgb", "gray"), "gray": ("gray",), "yuv": ("yuv",), "yuvj": ("yuvj", "yuv", "gray")}
-    if src.color not in accepts[dst.color]:
-        score -= (n * 65536) >> (min(src.depths[0], dst.depths[0]) - 1)
-    if dst.color == "gray" and src.color != "gray":
-        score -= 2 * 65536
-    if src.alpha and not dst.alpha and has_alpha:
-        score -= 65536
-    return score
+#: Scores of a format kept as it is, of any other before what it loses, and of frames that live in devices.
+BEST, BASE, DEVICE, OTHER = (1 << 31) - 1, (1 << 31) - 2, -1, -2
+FORMAT = "name string, color string, depths array<int>, chroma_w int, chroma_h int, alpha boolean, paletted boolean, bits int"
 
 
 def padded_bits(f: dims.PixelFormat) -> int:
     """Stored bits per pixel of a 16 x 16 frame."""
     chroma = (16 >> f.chroma_w) * (16 >> f.chroma_h)
-    planes = [(chroma if f.color in ("yuv", "yuvj") and i in (1, 2) else 256) * b for i, b in enumerate(f.plane_bytes)]
+    planes = [(chroma if f.planar_chroma and i in (1, 2) else 256 // f.group) * b for i, b in enumerate(f.plane_bytes)]
     return sum(planes) * 8 // 256
 
 
+def pixel_formats(spark: SparkSession) -> DataFrame:
+    """The formats as a small table."""
+    rows = [(f.name, f.color, f.depths, f.chroma_w, f.chroma_h, f.alpha, f.paletted, padded_bits(f)) for f in dims.PIXEL_FORMATS]
+    return spark.createDataFrame(rows, FORMAT)
+
+
+def conversion_score(s: Column, d: Column, has_alpha: bool) -> Column:
+    """How little a conversion from one format (a struct as in ``pixel_formats``) to another loses; higher is better.
+
+    Fewer bits, coarser or finer chroma, another colour model, lost alpha and a palette cost.
+    """
+    zero = F.lit(0).cast("bigint")
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
+    n = F.least(F.size(s["depths"]), F.when(d["paletted"], 4).otherwise(F.size(d["depths"])))
+    kept = lambda i: F.when(d["paletted"], F.floor(F.lit(7) / n).cast("int")).otherwise(F.get(d["depths"], i) - 1)
+    more = lambda i: F.get(s["depths"], i) - 1 - kept(i)
+    bits = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(more(i) > 0, -F.floor(F.lit(65536) / power(kept(i)))).otherwise(more(i)).cast("bigint")), zero, lambda a, x: a + x)
+    chroma = zero
+    for c in ("chroma_w", "chroma_h"):
+        chroma = chroma - F.when(d[c] > s[c], F.lit(256) * power(d[c])).when(d[c] < s[c], power(s[c] - d[c])).otherwise(0)
+    at = lambda x, k: (x["chroma_w"] == k) & (x["chroma_h"] == k)
+    halved = F.when(at(d, 1) & at(s, 0), 512).when(at(d, 1) & at(s, 2), 4).otherwise(0)
+    accepts = F.create_map(*[x for k, v in {"rgb": ("rgb", "gray"), "gray": ("gray",), "yuv": ("yuv",), "yuvj": ("yuvj", "yuv", "gray"), "xyz": ("xyz",)}.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    other = F.when(F.array_contains(F.try_element_at(accepts, d["color"]), s["color"]), 0).otherwise(F.floor(n * F.lit(65536) / power(F.least(F.get(s["depths"], F.lit(0)), F.get(d["depths"], F.lit(0))) - 1)))
+    grayed = F.when((d["color"] == "gray") & (s["color"] != "gray"), 2 * 65536).otherwise(0)
+    cut = F.when(s["alpha"] & ~d["alpha"] & F.lit(has_alpha), 65536).otherwise(0)
+    palette = F.when(d["paletted"] & ~s["paletted"] & ((s["color"] != "gray") | (s["alpha"] & F.lit(has_alpha))), 65536).otherwise(0)
+    device = (F.size(s["depths"]) == 0) | (F.size(d["depths"]) == 0)
+    return F.when(device, F.when(s["name"] == d["name"], DEVICE).otherwise(OTHER)).when(s["name"] == d["name"], BEST).otherwise(F.lit(BASE) + bits + chroma + halved - other - grayed - cut - palette).cast("bigint")
+
+
 def best_pixel_format(formats: DataFrame, src: str, candidates: list[str], has_alpha: bool = False) -> DataFrame:
-    """Adds ``best``: the candidate that loses least from the format named in column ``src``.
+    """Adds ``best``: the candidate that loses least from the format named in column ``src``; null for an unknown format.
 
-    Equal scores: fewer stored bits, then fewer components, then the earlier candidate. Scores
-    of all known formats make one map per row, so no join is needed.
+    Equal scores: fewer stored bits, then fewer components, then the earlier candidate. The
+    choice is made once for every known format, in a table of fewer than 300 rows that is
+    broadcast; rows are only joined to it.
     """
+    known = pixel_formats(formats.sparkSession)
     by_name = {f.name: f for f in dims.PIXEL_FORMATS}
-    chosen = {}
-    for s in dims.PIXEL_FORMATS:
-        ranked = [(-conversion_score(s, by_name[c], has_alpha), padded_bits(by_name[c]), len(by_name[c].depths), i, c) for i, c in enumerate(candidates)]
-        chosen[s.name] = min(ranked)[-1]
-    names = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
-    return formats.withColumn("best", F.try_element_at(names, F.col(src)))
+    if unknown := [c for c in candidates if c not in by_name]:
+        raise ValueError(f"unknown pixel formats {unknown}")
+    each = [(by_name[c], F.lit(i)) for i, c in enumerate(candidates)]
+    made = [F.struct(F.lit(f.name).alias("name"), F.lit(f.color).alias("color"), F.array(*map(F.lit, f.depths)).cast("array<int>").alias("depths"), F.lit(f.chroma_w).alias("chroma_w"), F.lit(f.chroma_h).alias("chroma_h"), F.lit(f.alpha).alias("alpha"), F.lit(f.paletted).alias("paletted"), F.lit(padded_bits(f)).alias("bits"), i.alias("ord")) for f, i in each]
+    ranked = F.array(*[F.struct((-conversion_score(F.col("s"), d, has_alpha)).alias("loss"), d["bits"].alias("bits"), F.size(d["depths"]).alias("parts"), d["ord"].alias("ord"), d["name"].alias("name")) for d in made])
+    chosen = known.select(F.struct(*known.columns).alias("s")).select(F.col("s.name").alias("_src"), F.array_min(ranked)["name"].alias("best"))
+    return formats.join(F.broadcast(chosen), F.col(src) == F.col("_src"), "left").drop("_src")
 
 
 # --- text samples

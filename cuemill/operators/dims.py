@@ -101,36 +101,91 @@ CHANNEL_LAYOUTS = [ChannelLayout(n, sum(1 << CHANNEL_BITS[c] for c in x.split())
 
 @dataclass(frozen=True)
 class PixelFormat:
-    """``plane_bytes``: bytes per sample in each plane; ``shared``: chroma samples that lie side by side in a plane."""
+    """A frame's layout by component and plane.
+
+    ``depths``: bits of each component; ``plane_bytes``: bytes of a group of ``group``
+    pixels of a line in each plane (a line has whole groups); planes 1 and 2 of planar YUV
+    are smaller by the chroma shifts. A format with ``loose`` lines takes any width. Frames
+    that live in devices have no depths and no planes.
+    """
 
     name: str
-    color: str  # gray, rgb, yuv or yuvj
+    color: str  # gray, rgb, yuv, yuvj, xyz or none
     depths: list[int]
     plane_bytes: list[int]
-    chroma_w: int
-    chroma_h: int
-    alpha: bool
+    chroma_w: int = 0
+    chroma_h: int = 0
+    alpha: bool = False
+    group: int = 1
+    loose: bool = False
+    paletted: bool = False
+
+    @property
+    def planar_chroma(self) -> bool:
+        """Whether chroma lies in planes of its own."""
+        return self.color in ("yuv", "yuvj") and len(self.plane_bytes) > 1
+
+
+#: Names of frames that live in devices.
+HARDWARE = ("vaapi", "dxva2_vld", "vdpau", "qsv", "mmal", "d3d11va_vld", "cuda", "videotoolbox_vld", "mediacodec", "d3d11", "drm_prime", "opencl", "vulkan", "d3d12", "amf", "ohcodec")
+#: Chroma shifts by the three digits of a name.
+SHIFTS = {"444": (0, 0), "440": (0, 1), "422": (1, 0), "420": (1, 1), "411": (2, 0), "410": (2, 2)}
+ENDS = ("le", "be")
+
+
+def _gray() -> list[PixelFormat]:
+    """One value a pixel, or two with alpha; whole numbers, then floating point, then single bits."""
+    rows = [PixelFormat("gray", "gray", [8], [1])]
+    rows += [PixelFormat(f"gray{d}{e}", "gray", [d], [4 if d > 16 else 2]) for d in (9, 10, 12, 14, 16, 32) for e in ENDS]
+    rows += [PixelFormat(f"grayf{d}{e}", "gray", [d], [d // 8]) for d in (16, 32) for e in ENDS]
+    rows += [PixelFormat("ya8", "gray", [8] * 2, [2], alpha=True), *(PixelFormat(f"{n}{d}{e}", "gray", [d] * 2, [d // 4], alpha=True) for n, d in (("ya", 16), ("yaf", 16), ("yaf", 32)) for e in ENDS)]
+    return rows + [PixelFormat(n, "gray", [1], [1], group=8, loose=True) for n in ("monow", "monob")]
+
+
+def _rgb() -> list[PixelFormat]:
+    """Packed, low-depth, Bayer and planar RGB, and the palette."""
+    rows = [PixelFormat(n, "rgb", [8] * 3, [3]) for n in ("rgb24", "bgr24")]
+    rows += [PixelFormat(n, "rgb", [8] * 4, [4], alpha=True) for n in ("rgba", "bgra", "argb", "abgr")]
+    rows += [PixelFormat(n, "rgb", [8] * 3, [4]) for n in ("rgb0", "bgr0", "0rgb", "0bgr")]
+    for n in ("rgb", "bgr"):
+        rows += [PixelFormat(f"{n}8", "rgb", [3, 3, 2], [1]), PixelFormat(f"{n}4_byte", "rgb", [1, 2, 1], [1]), PixelFormat(f"{n}4", "rgb", [1, 2, 1], [1], group=2, loose=True)]
+        rows += [PixelFormat(f"{n}{d}{e}", "rgb", depths, [2]) for d, depths in (("565", [5, 6, 5]), ("555", [5] * 3), ("444", [4] * 3)) for e in ENDS]
+        rows += [PixelFormat(f"{n}48{e}", "rgb", [16] * 3, [6]) for e in ENDS] + [PixelFormat(f"{n}a64{e}", "rgb", [16] * 4, [8], alpha=True) for e in ENDS]
+        rows += [PixelFormat(f"x2{n}10{e}", "rgb", [10] * 3, [4]) for e in ENDS]
+    rows += [PixelFormat(f"rgb96{e}", "rgb", [32] * 3, [12]) for e in ENDS] + [PixelFormat(f"rgba128{e}", "rgb", [32] * 4, [16], alpha=True) for e in ENDS]
+    rows += [PixelFormat(f"rgb{a}f{d}{e}", "rgb", [d] * k, [d // 8 * k], alpha=k == 4) for a, k in (("", 3), ("a", 4)) for d in (16, 32) for e in ENDS]
+    for order in ("bggr", "rggb", "gbrg", "grbg"):
+        rows += [PixelFormat(f"bayer_{order}8", "rgb", [2, 4, 2], [1]), *(PixelFormat(f"bayer_{order}16{e}", "rgb", [4, 8, 4], [2]) for e in ENDS)]
+    for a, k in (("", 3), ("a", 4)):
+        rows.append(PixelFormat(f"gbr{a}p", "rgb", [8] * k, [1] * k, alpha=k == 4))
+        rows += [PixelFormat(f"gbr{a}p{d}{e}", "rgb", [d] * k, [4 if d > 16 else 2] * k, alpha=k == 4) for d in ((9, 10, 12, 14, 16) if k == 3 else (10, 12, 14, 16, 32)) for e in ENDS]
+        rows += [PixelFormat(f"gbr{a}pf{d}{e}", "rgb", [d] * k, [d // 8] * k, alpha=k == 4) for d in (16, 32) for e in ENDS]
+    rows += [PixelFormat(f"gbrp{d}msb{e}", "rgb", [d] * 3, [2] * 3) for d in (10, 12) for e in ENDS]
+    return [*rows, PixelFormat("pal8", "rgb", [8], [1], alpha=True, paletted=True)]
+
+
+def _yuv() -> list[PixelFormat]:
+    """Planar, half-planar and packed YUV, and XYZ."""
+    planar = lambda n, d, s, k, color="yuv": PixelFormat(n, color, [d] * k, [2 if d > 8 else 1] * k, *SHIFTS[s], k == 4)
+    rows = [planar(f"yuv{s}p", 8, s, 3) for s in SHIFTS] + [planar(f"yuvj{s}p", 8, s, 3, "yuvj") for s in ("411", "420", "422", "440", "444")]
+    rows += [planar(f"yuv{s}p{d}{e}", d, s, 3) for s in ("420", "422", "444") for d in (9, 10, 12, 14, 16) for e in ENDS]
+    rows += [planar(f"yuv440p{d}{e}", d, "440", 3) for d in (10, 12) for e in ENDS] + [planar(f"yuv444p{d}msb{e}", d, "444", 3) for d in (10, 12) for e in ENDS]
+    rows += [planar(f"yuva{s}p", 8, s, 4) for s in ("420", "422", "444")]
+    rows += [planar(f"yuva{s}p{d}{e}", d, s, 4) for s in ("420", "422", "444") for d in (9, 10, 12, 16) if (s, d) != ("420", 12) for e in ENDS]
+    half = lambda n, d, s: PixelFormat(n, "yuv", [d] * 3, [1, 2] if d == 8 else [2, 4], *SHIFTS[s])
+    rows += [half(n, 8, s) for n, s in (("nv12", "420"), ("nv21", "420"), ("nv16", "422"), ("nv24", "444"), ("nv42", "444"))] + [half(f"nv20{e}", 10, "422") for e in ENDS]
+    rows += [half(f"p{k}{d}{e}", d, s) for k, s in (("0", "420"), ("2", "422"), ("4", "444")) for d in (10, 12, 16) for e in ENDS]
+    rows += [PixelFormat(n, "yuv", [8] * 3, [2], 1) for n in ("yuyv422", "uyvy422", "yvyu422")] + [PixelFormat("uyyvyy411", "yuv", [8] * 3, [6], 2, group=4, loose=True)]
+    rows += [PixelFormat(f"y2{d}{e}", "yuv", [d] * 3, [4], 1) for d in (10, 12, 16) for e in ENDS]
+    rows += [PixelFormat(f"{n}{e}", "yuv", [d] * 3, [b]) for n, d, b in (("xv30", 10, 4), ("v30x", 10, 4), ("xv36", 12, 8), ("xv48", 16, 8)) for e in ENDS]
+    rows += [PixelFormat(n, "yuv", [8] * 4, [4], alpha=True) for n in ("vuya", "ayuv", "uyva")] + [PixelFormat("vuyx", "yuv", [8] * 3, [4]), PixelFormat("vyu444", "yuv", [8] * 3, [3])]
+    rows += [PixelFormat(f"ayuv64{e}", "yuv", [16] * 4, [8], alpha=True) for e in ENDS]
+    return rows + [PixelFormat(f"xyz12{e}", "xyz", [12] * 3, [6]) for e in ENDS]
 
 
 def _pixel_formats() -> list[PixelFormat]:
-    """Formats from rules for their families: gray, packed RGB, planar RGB, planar and half-planar YUV."""
-    rows = [PixelFormat("gray", "gray", [8], [1], 0, 0, False)]
-    rows += [PixelFormat(f"gray{d}{e}", "gray", [d], [2], 0, 0, False) for d in (9, 10, 12, 14, 16) for e in ("le", "be")]
-    rows += [PixelFormat("ya8", "gray", [8, 8], [2], 0, 0, True)]
-    rows += [PixelFormat(n, "rgb", [8] * 3, [3], 0, 0, False) for n in ("rgb24", "bgr24")]
-    rows += [PixelFormat(n, "rgb", [8] * 4, [4], 0, 0, True) for n in ("rgba", "bgra", "argb", "abgr")]
-    rows += [PixelFormat(n, "rgb", [8] * 3, [4], 0, 0, False) for n in ("rgb0", "bgr0", "0rgb", "0bgr")]
-    rows += [PixelFormat(f"{n}48{e}", "rgb", [16] * 3, [6], 0, 0, False) for n in ("rgb", "bgr") for e in ("le", "be")]
-    rows += [PixelFormat(f"rgba64{e}", "rgb", [16] * 4, [8], 0, 0, True) for e in ("le", "be")]
-    rows += [PixelFormat("gbrp", "rgb", [8] * 3, [1] * 3, 0, 0, False), PixelFormat("gbrap", "rgb", [8] * 4, [1] * 4, 0, 0, True)]
-    shifts = {"420": (1, 1), "422": (1, 0), "444": (0, 0), "440": (0, 1), "411": (2, 0), "410": (2, 2)}
-    rows += [PixelFormat(f"yuv{s}p", "yuv", [8] * 3, [1] * 3, w, h, False) for s, (w, h) in shifts.items()]
-    rows += [PixelFormat(f"yuvj{s}p", "yuvj", [8] * 3, [1] * 3, *shifts[s], False) for s in ("420", "422", "444", "440")]
-    rows += [PixelFormat(f"yuva{s}p", "yuv", [8] * 4, [1] * 4, *shifts[s], True) for s in ("420", "422", "444")]
-    rows += [PixelFormat(f"yuv{s}p{d}{e}", "yuv", [d] * 3, [2] * 3, *shifts[s], False) for s in ("420", "422", "444") for d in (9, 10, 12, 14, 16) for e in ("le", "be")]
-    rows += [PixelFormat(n, "yuv", [8] * 3, [1, 2], 1, 1, False) for n in ("nv12", "nv21")]
-    rows += [PixelFormat("nv16", "yuv", [8] * 3, [1, 2], 1, 0, False)]
-    return rows
+    """All formats, from rules for their families."""
+    return [*_gray(), *_rgb(), *_yuv(), *(PixelFormat(n, "none", [], []) for n in HARDWARE)]
 
 
 PIXEL_FORMATS = _pixel_formats()

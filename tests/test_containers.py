@@ -186,11 +186,20 @@ def test_geometry_and_choice(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(decode.plane_sizes("yuv420p", F.lit(4), F.lit(2))) == [8, 2, 2] and one(decode.plane_sizes("yuv420p", F.lit(3), F.lit(2))) is None
     assert one(decode.frame_size("nv12", F.lit(4), F.lit(4))) == 24 and one(decode.frame_size("yuv444p10le", F.lit(2), F.lit(2))) == 24
-    by = {f.name: f for f in dims.PIXEL_FORMATS}
     rows = spark.createDataFrame([("yuv422p",), ("rgba",), ("gray",), ("yuv420p10le",), (None,)], "src string")
     best = {r.src: r.best for r in decode.best_pixel_format(rows, "src", ["yuv420p", "yuv444p", "rgb24", "gray", "rgba"], True).collect()}
     assert best["rgba"] == "rgba" and best["gray"] == "gray" and best["yuv422p"] == "yuv444p" and best["yuv420p10le"] == "yuv420p" and best[None] is None
-    assert decode.conversion_score(by["rgb24"], by["gray"], False) < decode.conversion_score(by["rgb24"], by["yuv444p"], False) < decode.conversion_score(by["rgb24"], by["bgr24"], False)
+    known = decode.pixel_formats(spark)
+    pairs = known.select(F.struct(*known.columns).alias("s")).crossJoin(known.select(F.struct(*known.columns).alias("d")))
+    score = {(r.a, r.b): r.x for r in pairs.select(F.col("s.name").alias("a"), F.col("d.name").alias("b"), decode.conversion_score(F.col("s"), F.col("d"), False).alias("x")).collect()}
+    assert score["rgb24", "gray"] < score["rgb24", "yuv444p"] < score["rgb24", "bgr24"] < score["rgb24", "rgb24"]
+    assert score["cuda", "cuda"] == -1 and score["cuda", "gray"] == score["gray", "cuda"] == -2 and all(v is not None for v in score.values())
+    assert score["rgb24", "pal8"] == decode.BASE - 3 * (65536 >> 2) - 65536 and score["pal8", "rgb24"] == decode.BASE
+    names = [f.name for f in dims.PIXEL_FORMATS]
+    assert len(names) == len(set(names)) and 260 <= len(names) <= 275
+    sizes = {n: one(decode.frame_size(n, F.lit(w), F.lit(h))) for n, w, h in (("monow", 9, 3), ("rgb4", 5, 2), ("uyyvyy411", 5, 2), ("bayer_rggb16be", 3, 3), ("pal8", 3, 3), ("xv36le", 2, 2), ("p010be", 4, 2), ("nv24", 3, 3), ("yuva444p12le", 2, 1), ("gbrapf32le", 1, 1), ("y210le", 2, 1), ("x2rgb10le", 3, 1))}
+    assert sizes == {"monow": 6, "rgb4": 6, "uyyvyy411": 24, "bayer_rggb16be": 18, "pal8": 9, "xv36le": 32, "p010be": 24, "nv24": 27, "yuva444p12le": 16, "gbrapf32le": 16, "y210le": 8, "x2rgb10le": 12}
+    assert one(decode.frame_size("yuyv422", F.lit(3), F.lit(1))) is None and one(decode.plane_sizes("cuda", F.lit(4), F.lit(4))) is None
     assert one(decode.is_silent(F.lit(bytearray(b"")), "s16")) and not one(decode.is_silent(F.lit(bytearray(b"\0\x10\0")), "s16"))
 
 
