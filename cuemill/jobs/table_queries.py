@@ -159,3 +159,25 @@ def parsed_pairs(spark, sf_dir):
 def language_codes(spark, sf_dir):
     """Packed language codes as text."""
     return table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") * 31 + F.col("o_orderkey")) % 32768).alias("code")).withColumn("language", TG.language_code(F.col("code")))
+
+
+_MOST = 150
+
+
+@query(
+    f"""WITH {RUNS}, t AS (SELECT file_id, sum(count)::BIGINT AS n, sum(count * (1 + (file_id % 5 = 0)::INT))::BIGINT AS c FROM r GROUP BY file_id), g AS (SELECT * FROM t WHERE n <= {_MOST} AND c <= {_MOST}),
+m AS (SELECT r.* FROM r JOIN g ON r.file_id = g.file_id)
+SELECT file_id, 'InvalidData' AS error_kind, 'stsz has ' || n || ' samples, {_MOST} are allowed' AS error, NULL::BIGINT AS samples, NULL::BIGINT AS bytes, NULL::BIGINT AS duration FROM t WHERE n > {_MOST}
+UNION ALL SELECT file_id, 'InvalidData', 'stts has ' || n || ' samples, {_MOST} are allowed', NULL, NULL, NULL FROM t WHERE n > {_MOST}
+UNION ALL SELECT file_id, 'InvalidData', 'ctts has ' || c || ' samples, {_MOST} are allowed', NULL, NULL, NULL FROM t WHERE c > {_MOST}
+UNION ALL SELECT file_id, NULL, NULL, sum(count)::BIGINT, sum(count * size)::BIGINT, sum(count * delta)::BIGINT FROM m GROUP BY file_id"""
+)
+def oversize_tracks(spark, sf_dir):
+    """Tracks with more samples than are allowed in any table are error rows, table by table, and have no samples; the others are whole."""
+    t = tables_of(spark, sf_dir)
+    ctts = t["ctts"].withColumn("count", F.when(F.col("file_id") % 5 == 0, F.col("count") * 2).otherwise(F.col("count")))
+    none = F.lit(None).cast("bigint")
+    bad = S.oversize_errors({"stsz": t["stsz_runs"], "stts": t["stts"], "ctts": ctts}, _MOST).select("file_id", "error_kind", "error", none.alias("samples"), none.alias("bytes"), none.alias("duration"))
+    good = S.assemble_samples(t["stsz_runs"], t["stts"], ctts, most=_MOST).groupBy("file_id").agg(F.count("*").alias("samples"), F.sum("size").alias("bytes"), F.sum("duration").alias("duration"))
+    text = F.lit(None).cast("string")
+    return bad.unionByName(good.select("file_id", text.alias("error_kind"), text.alias("error"), "samples", "bytes", "duration"))
