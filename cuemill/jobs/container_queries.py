@@ -357,14 +357,35 @@ def skipped_samples(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", decode.skip_samples(side).alias("s")).select("event_id", "s.*")
 
 
-@query()
+def _damaged_sql() -> str:
+    """Cut WAV, AVI and YUV4MPEG2 files by the numbers in their headers, MOV files by where their boxes begin."""
+    bare = len(mov_writer.movie([], [], ctts=[], sync=[], language=5575, handler_name="turns", ilst=mov_writer.data_atom(b"\xa9nam", 1, b"conversation ") + mov_writer.data_atom(b"trkn", 0, bytes(6))))
+    avi, y4m = len(mux.avi_file([], 2, 2, (25, 1))), len(mux.y4m_header(2, 2, (25, 1)))
+    return f"""WITH {FILES}, {TURN_PACKETS}, m AS (SELECT file_id, count(*) AS n, sum(size)::BIGINT AS s FROM p GROUP BY file_id),
+w AS (SELECT 'wav' AS container, (file_id * 37) % (72 + length + length % 2) AS c FROM f WHERE length > 0),
+a AS (SELECT 'avi' AS container, (file_id * 37) % ({avi} + 24 * (length // 12)) AS c FROM f WHERE length >= 12),
+y AS (SELECT 'y4m' AS container, (file_id * 37) % ({y4m} + 12 * (length // 6)) AS c FROM f WHERE length >= 6),
+v AS (SELECT s, (file_id * 37) % ({bare} + s + 20 * n + 8 * ((n + 1) // 2) + 12 * ((n >= 2)::INT + n % 2) + length(file_id::VARCHAR)) AS c FROM m),
+b AS (SELECT CASE WHEN c IN (0, 20, 28 + s) THEN NULL WHEN c < 20 THEN CASE WHEN c < 8 THEN 'EndOfFile' ELSE 'InvalidData' END WHEN c < 28 + s THEN CASE WHEN c < 28 THEN 'EndOfFile' ELSE 'InvalidData' END
+  WHEN c < 36 + s THEN 'EndOfFile' ELSE 'InvalidData' END AS error_kind, CASE WHEN c = 0 THEN 0 WHEN c = 28 + s THEN 2 ELSE 1 END AS rows FROM v),
+e AS (SELECT container, 'EndOfFile' AS error_kind, 1 AS rows FROM w UNION ALL SELECT container, 'EndOfFile', 1 FROM a UNION ALL SELECT 'mov', error_kind, rows FROM b
+  UNION ALL SELECT container, CASE WHEN c < {y4m} THEN 'EndOfFile' WHEN (c - {y4m}) % 12 BETWEEN 1 AND 5 AND c > {y4m} + 12 THEN 'EndOfFile' END, CASE WHEN c < {y4m} OR (c - {y4m}) % 12 BETWEEN 1 AND 5 AND c > {y4m} + 12 THEN 1 ELSE (c - {y4m}) // 12 END FROM y)
+SELECT container, error_kind, sum(rows)::BIGINT AS n FROM e WHERE rows > 0 GROUP BY container, error_kind"""
+
+
+@query(_damaged_sql())
 def damaged_files(spark, sf_dir):
-    """Written files cut at every length: errors are rows, never failures. Counts by container and error kind."""
-    packets = media.packetize_pcm(document_files(spark, sf_dir), 2, 256)
-    wav = mux.mux_wav(packets, 48_000, 2).withColumn("content", F.expr("substring(content, 1, cast(pmod(file_id * 37, octet_length(content)) as int))"))
-    mov = mov_files(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, cast(pmod(file_id * 37, octet_length(content)) as int))"))
-    rows = containers.wav_packets(wav).select(F.lit("wav").alias("container"), "error_kind").unionByName(containers.mov_boxes(mov).select(F.lit("mov").alias("container"), "error_kind"))
-    return rows.groupBy("container", "error_kind").agg(F.count("*").alias("n"))
+    """Written files of four formats, each cut at another length: errors are rows, never failures. Packets (boxes for MOV) and errors by container and kind."""
+    cut = lambda files: files.withColumn("content", F.expr("substring(content, 1, cast(pmod(file_id * 37, octet_length(content)) as int))"))
+    wav = cut(mux.mux_wav(media.packetize_pcm(document_files(spark, sf_dir), 2, 256), 48_000, 2))
+    avi = cut(mux.mux_avi(frames(spark, sf_dir, 12), 2, 2, (25, 1)).where("error is null"))
+    y4m = cut(mux.mux_y4m(frames(spark, sf_dir, 6), 2, 2, (25, 1)))
+    parsed = {"wav": containers.wav_packets(wav), "avi": containers.avi_packets(avi), "y4m": containers.y4m_packets(y4m), "mov": containers.mov_boxes(cut(mov_files(spark, sf_dir)))}
+    out = None
+    for name, rows in parsed.items():
+        rows = rows.select(F.lit(name).alias("container"), "error_kind")
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("container", "error_kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id AS file_id, CASE WHEN doc_id % 6 != 0 THEN 'not a wav file' END AS error, 48000::BIGINT AS sample_rate FROM documents")

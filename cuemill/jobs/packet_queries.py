@@ -191,9 +191,9 @@ def rational_arithmetic(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in "spq" for y in ("num", "den")], "cmp")
 
 
-@query()
+@query("SELECT o_orderkey, p AS num, q AS den FROM (SELECT *, least(1000, round(v * q))::BIGINT AS p FROM (SELECT o_orderkey, o_totalprice::DOUBLE / 97 AS v, unnest(range(1, 1001)) AS q FROM orders)) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(v - p::DOUBLE / q), q) = 1")
 def bounded_rationals(spark, sf_dir):
-    """Best fractions for doubles with parts up to 1000."""
+    """Best fractions for doubles with parts up to 1000: of all denominators the one that comes nearest, the least of equals."""
     v = F.col("o_totalprice") / 97
     return table(spark, sf_dir, "orders").select("o_orderkey", tb.rational_from_double(v, 1000).alias("r")).select("o_orderkey", "r.num", "r.den")
 
