@@ -86,7 +86,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5,
 
     A line repeated on one page counts once for it, and all its copies go. Hosts with fewer
     than ``least_pages`` pages keep everything, as do pages without a host. Null html has
-    no lines. Repeated rows count as pages of their own; an empty table gives no rows.
+    no lines. Repeated rows count as pages of their own; an empty table gives no rows; other
+    columns are not looked at.
     """
     lined = materialise(pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), lines_of(F.col(html_col)).alias("lines")), "lines")
     dropped = materialise(boilerplate(lined, ratio, least_pages), "boilerplate")

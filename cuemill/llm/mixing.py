@@ -73,7 +73,10 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     A row's size is its number of words (null text: 0); a null source is a source of its
     own, last in order. ``taken`` is ``copies`` times the size. Wordless documents get only
     the certain copies. A source without words, or a table without rows, has the target 0.
-    Rows that repeat an id share its random number and are ranked by size, then text hash.
+    Rows that repeat an id share its random number and are ranked by size, then text hash;
+    so do rows with a null id, all of which are ranked in one window where they cross a
+    source's line: meant for tables in which ids are mostly distinct. Other columns are not
+    looked at but for those to carry, whose names must not be among the result's.
     """
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"), *carry), "mixing")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))

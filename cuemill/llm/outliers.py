@@ -202,7 +202,9 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, most_steps: int = MOST_STEP
     Estimates use the rows that pass the base rules. A language and source with fewer than
     ``LEAST_ROWS`` of them is judged by its language's estimates, a language with fewer by
     those of all rows. Null texts have no words and fail; a null language or source is a
-    group of its own; repeated rows are judged alike; an empty table gives no rows.
+    group of its own; repeated rows are judged alike; an empty table gives no rows; other
+    columns are not looked at. Estimation ends after ``most_steps`` steps even where a
+    determinant still falls.
     """
     rows = materialise(counts(docs, id_col, text_col).withColumn("base_failed", base_failed()), "quality")
     fine = rows.where("not base_failed").select("lang", "source", F.pmod(F.col("word_chars") * 31 + F.col("n_words"), F.lit(PARTS)).cast("int").alias("part"), *vector())

@@ -5,7 +5,7 @@ The normalised texts are written once as a content table. Its rows arrive as a s
 one entry per digest without expiry: how many rows had it, the stable identifier of the row
 that stays, and the locator of its content (file and row of the content table). The store
 lives on disk and is checkpointed to the shared folder, so a lost executor resumes from
-there and later runs may go on from the same state.
+there. State and content table go when the result is written.
 
 Every hit is then held against the full bytes: the texts of hits alone are fetched by their
 locators and compared per digest. Texts that only share a digest are split into classes of
