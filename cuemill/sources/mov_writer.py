@@ -45,7 +45,7 @@ def audio_entry(fourcc: bytes, channels: int, bits: int, rate: int, *kids: bytes
     return box(fourcc, b"\0" * 6, struct.pack(">H", 1), b"\0" * 8, struct.pack(">HHHHI", channels, bits, 0, 0, rate << 16), *kids)
 
 
-def track_box(number: int, handler: bytes, entry: bytes | None, timescale: int, samples: list[tuple[int, int, int]], chunks: list[list[int]], media_time: int | None = None, name: str = "") -> bytes:
+def track_box(number: int, handler: bytes, entry: bytes | None, timescale: int, samples: list[tuple[int, int, int]], chunks: list[list[int]], media_time: int | None = None, name: str = "", language: int = 0) -> bytes:
     """A ``trak`` of samples (size, duration, key) in chunks (64-bit offset, samples); a sync table only if some sample is no key."""
     total = sum(d for _, d, _ in samples)
     entries, at = [], 1
@@ -63,7 +63,7 @@ def track_box(number: int, handler: bytes, entry: bytes | None, timescale: int,
         stbl.append(_table(b"stss", [(i + 1,) for i, (_, _, k) in enumerate(samples) if k], "I"))
     mdia = box(
         b"mdia",
-        full(b"mdhd", struct.pack(">QQIQ", 0, 0, timescale, total), b"\0" * 4, version=1),
+        full(b"mdhd", struct.pack(">QQIQHH", 0, 0, timescale, total, language, 0), version=1),
         full(b"hdlr", b"\0" * 4, handler, b"\0" * 12, name.encode() + b"\0"),
         box(b"minf", box(b"stbl", *stbl)),
     )
