@@ -242,3 +242,43 @@ def test_assembled_samples_are_the_joined_ones(spark):
     plain = S.assemble_samples(sizes, durations)
     assert plain.count() == 9 and plain.where("is_key and ctts = 0").count() == 9
     assert S.assemble_samples(runs({1: [(1 << 40, 1)]}), durations).count() == 0
+
+
+def test_running_totals_of_assembled_samples_are_those_of_windows(spark):
+    """Times and places come from run lengths; nothing after the tables is shuffled or sorted by sample."""
+    key = "file_id int, track int, ord int, count bigint, value bigint"
+    runs = lambda rows: spark.createDataFrame([(f, k, i, n, v) for (f, k), part in rows.items() for i, (n, v) in enumerate(part)], key)
+    sizes, durations = runs({(1, 0): [(3, 2), (0, 7), (4, 9)], (1, 1): [(5, 1)], (2, 0): [(4, 3)]}), runs({(1, 0): [(2, 10), (3, 4)], (1, 1): [(1, 20), (9, 30)]})
+    stsc = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 0, 1, 3, 3), (1, 1, 0, 1, 4), (2, 0, 0, 1, 1)], "file_id int, track int, ord int, first_chunk bigint, samples_per_chunk bigint")
+    counts = spark.createDataFrame([(1, 0, 3), (1, 1, 2), (2, 0, 2)], "file_id int, track int, chunk_count bigint")
+    edits = spark.createDataFrame([(1, 0, 5, "mp4a"), (1, 1, 0, "avc1")], "file_id int, track int, media_time bigint, codec string")
+    chunks = S.chunk_runs(stsc, counts).withColumn("chunk_offset", F.col("chunk") * 1000)
+    joined = S.zip_samples(S.expand_runs(sizes, "size"), S.expand_runs(durations, "duration"), None, None).join(S.samples_in_chunks(chunks), [*S.TRACK, "sample"]).withColumn("chunk_offset", F.col("chunk") * 1000)
+    columns = ["file_id", "track", "sample", "chunk", "size", "pos", "dts", "pts", "duration", "flags", "skip_samples"]
+    rows = lambda df: sorted(df.select(*columns).collect(), key=str)
+    want = rows(S.timeline(S.place_samples(joined), edits))
+    spans = S.assemble_samples(sizes, durations, None, None, S.chunk_spans(stsc, counts), carried=edits).withColumn("chunk_offset", F.col("chunk") * 1000)
+    placed = S.timeline(S.place_samples(spans))
+    assert len(want) == 14 and rows(placed) == want and rows(S.timeline(S.place_samples(S.assemble_samples(sizes, durations, None, None, chunks)), edits)) == want
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and not {"Window", "Sort", "Exchange"} & set(plan.split("Generate")[0].replace("(", " ").split())
+
+
+def test_key_samples_as_rows_and_as_lists(spark):
+    runs = spark.createDataFrame([(1, 0, 0, 7, 1), (2, 0, 0, 3, 1)], "file_id int, track int, ord int, count bigint, value bigint")
+    keys = spark.createDataFrame([(1, 0, k) for k in (6, 0, 3, 3)], "file_id int, track int, sample bigint")
+    lists = keys.groupBy("file_id", "track").agg(F.collect_list("sample").alias("samples"))
+    for sync in (keys, lists):
+        got = {(r.file_id, r.sample) for r in S.assemble_samples(runs, runs, sync=sync).where("is_key").collect()}
+        assert got == {(1, 0), (1, 3), (1, 6), (2, 0), (2, 1), (2, 2)}
+
+
+def test_files_of_few_ranges_are_not_swept(spark):
+    """Samples meet the few ranges of their file without being moved or sorted; files of many ranges are swept, and both give the same."""
+    samples = spark.range(300).select((F.col("id") % 3).alias("file_id"), F.col("id").alias("sample"), F.col("id").alias("pos"), F.lit(5).cast("bigint").alias("size"))
+    known = [(0, 10, 100), (0, 50, 180), *[(1, k * 20, k * 20 + 15) for k in range(12)]]
+    ranges = spark.createDataFrame(known, "file_id bigint, start bigint, end bigint")
+    want = [n for n in range(300) if any(f == n % 3 and a <= n and n + 5 <= b for f, a, b in known)]
+    for few in (0, 2, 100):
+        assert sorted(r.sample for r in S.inside_ranges(samples, ranges, True, few=few).collect()) == want
+        assert S.inside_ranges(samples, ranges, False, few=few).count() == 300 - len(want)
