@@ -207,3 +207,31 @@ def test_names(spark):
     assert one(spark, probe.codec_type(none, F.lit("audio"), none, none)) == "audio"
     assert one(spark, probe.codec_type(none, none, F.lit(1), none)) == "video" and one(spark, probe.codec_type(none, none, F.lit(1), none, True)) == "unknown"
     assert len(dims.CHANNEL_LAYOUTS) == 40 and {f.name: f.bytes for f in dims.SAMPLE_FORMATS}["s64p"] == 8
+
+
+def test_sql_of_nearest_fractions_is_exact():
+    """Doubles that lie midway between two fractions: the SQL breaks the tie as the query does, by denominator, then numerator."""
+    import duckdb
+
+    from cuemill.jobs import packet_queries
+
+    prices = [97 * k + 48.5 for k in (1, 38, 500, 700, 999, 1000)] + [97 * (a / b + c / d) / 2 for a, b, c, d in ((1, 10, 3, 29), (355, 113, 22, 7), (1, 999, 1, 998), (700, 3, 467, 2))] + [0.0, 0.01, 1234.56, 499999.99]
+    con = duckdb.connect()
+    con.execute("create table orders (o_orderkey bigint, o_totalprice double)")
+    con.executemany("insert into orders values (?, ?)", list(enumerate(prices)))
+    got = {k: (p, q) for k, p, q in con.sql(packet_queries._NEAREST).fetchall()}
+    assert got == {k: tb.from_double(v / 97, 1000) for k, v in enumerate(prices)} and got[3] == (700, 1)
+
+
+def test_sql_of_fractions_is_null_beyond_32_bits(spark, tmp_path):
+    import duckdb
+
+    from cuemill.jobs import packet_queries
+    from cuemill.jobs.registry import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute("create table lineitem as select 1::bigint l_orderkey, n::bigint l_linenumber, p::bigint l_partkey, s::bigint l_suppkey from (values (1, 1200000, 60000), (2, 7, 9), (3, 59999, 35789), (4, 60000, 35790), (5, 2147483646, 0)) t(n, p, s)")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    rows = packet_queries.rational_arithmetic(spark, str(tmp_path))
+    want = con.sql(f"select {', '.join(rows.columns)} from ({ORACLE_SQL['rational_arithmetic']})").fetchall()
+    assert sorted(map(str, map(tuple, rows.collect()))) == sorted(map(str, want)) and sum(r[4] is None for r in want) > 0
