@@ -61,11 +61,26 @@ def frame_size(name: str, width: Column, height: Column) -> Column:
 
 def split_planes(packets: DataFrame, name: str, width: int, height: int) -> DataFrame:
     """``file_id, packet_index, pts, plane, size, data`` of payloads that are exactly one frame."""
-    sizes = plane_sizes(name, F.lit(width), F.lit(height))
-    rows = packets.where(F.octet_length("payload") == frame_size(name, F.lit(width), F.lit(height))).withColumn("_sizes", sizes)
-    each = rows.select("file_id", "packet_index", "pts", "payload", "_sizes", F.posexplode("_sizes").alias("plane", "size"))
-    start = F.aggregate(F.slice("_sizes", F.lit(1), F.col("plane")), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return each.select("file_id", "packet_index", "pts", "plane", "size", F.substring(F.col("payload"), (start + 1).cast("int"), F.col("size").cast("int")).alias("data"))
+    sizes = frame_plane_sizes(name, width, height)
+    if sizes is None:
+        sizes = []
+    planes = [F.struct(F.lit(k).alias("plane"), F.lit(n).cast("bigint").alias("size"), F.lit(sum(sizes[:k])).alias("start")) for k, n in enumerate(sizes)]
+    spans = F.array(*planes) if planes else F.array().cast("array<struct<plane:int,size:bigint,start:int>>")
+    rows = packets.where(F.octet_length("payload") == sum(sizes))
+    each = rows.select("file_id", "packet_index", "pts", "payload", F.explode(spans).alias("s"))
+    return each.select("file_id", "packet_index", "pts", "s.plane", "s.size", F.substring(F.col("payload"), F.col("s.start") + 1, F.col("s.size").cast("int")).alias("data"))
+
+
+def frame_plane_sizes(name: str, width: int, height: int) -> list[int] | None:
+    """``plane_sizes`` of one known geometry, as numbers."""
+    f = next((x for x in dims.PIXEL_FORMATS if x.name == name), None)
+    if f is None:
+        raise ValueError(f"no geometry for pixel format {name!r}")
+    fits = width > 0 and height > 0 and (f.loose or width % (1 << f.chroma_w) == 0 and height % (1 << f.chroma_h) == 0)
+    if not f.plane_bytes or not fits:
+        return None
+    groups, chroma = -(-width // f.group), (width >> f.chroma_w) * (height >> f.chroma_h)
+    return [(chroma if f.planar_chroma and i in (1, 2) else groups * height) * b for i, b in enumerate(f.plane_bytes)]
 
 
 def is_silent(payload: Column, sample_format: str) -> Column:

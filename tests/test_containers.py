@@ -282,3 +282,43 @@ def test_files_of_few_ranges_are_not_swept(spark):
     for few in (0, 2, 100):
         assert sorted(r.sample for r in S.inside_ranges(samples, ranges, True, few=few).collect()) == want
         assert S.inside_ranges(samples, ranges, False, few=few).count() == 300 - len(want)
+
+
+def test_files_with_pictures_of_any_key(spark, tmp_path):
+    """Keys beyond 16 bits: widths stay within theirs."""
+    from cuemill.jobs import container_queries as Q
+
+    spark.createDataFrame([(k, f"Customer#{k}") for k in (1, 64_999, 65_519, 65_520, 900_000)], "c_custkey bigint, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert Q.cover_pictures(spark, str(tmp_path)).count() == 5 and Q.sample_entries(spark, str(tmp_path)).count() == 5
+
+
+def test_plane_sizes_as_numbers_are_those_of_columns(spark):
+    names = [f.name for f in dims.PIXEL_FORMATS]
+    for w, h in ((2, 2), (6, 4), (5, 3), (0, 2)):
+        row = spark.range(1).select(*[decode.plane_sizes(n, F.lit(w), F.lit(h)).alias(n) for n in names]).first()
+        assert [decode.frame_plane_sizes(n, w, h) for n in names] == list(row)
+
+
+def test_small_files_share_their_batches(spark):
+    """Parsed rows of many files are one batch, not one each; a broken file among them is one row."""
+    files = spark.createDataFrame([(k, bytearray(b"bad" if k == 7 else boxes.PNG)) for k in range(50)], "file_id bigint, content binary").coalesce(1)
+
+    def parse(data):
+        for k in range(3):
+            yield {"n": k, "data": data}
+            if data == b"bad" and k == 1:
+                raise boxes.Bad("InvalidData", "broken")
+
+    rows = containers.map_files(files, "n bigint, data binary", parse)
+    sizes = rows.mapInPandas(lambda frames: (f.iloc[:1][["file_id"]].assign(file_id=len(f)) for f in frames), "file_id bigint").collect()
+    got = rows.collect()
+    assert [r.file_id for r in sizes] == [148] and len(got) == 148 and [(r.n, r.error_kind, r.error) for r in got if r.file_id == 7] == [(None, "InvalidData", "broken")]
+
+
+def test_muxers_join_pieces_without_python(spark):
+    packets = spark.createDataFrame([(1, k, 0, bytearray(bytes([k]) * 6) if k != 5 else None) for k in (3, 0, 11, 5, 2)], "file_id bigint, packet_index bigint, stream_index int, payload binary")
+    out = mux.mux_pcm(packets)
+    assert bytes(out.first().content) == b"".join(bytes([k]) * 6 for k in (0, 2, 3, 11)) and "Python" not in out._jdf.queryExecution().toString()
+    assert bytes(mux.mux_pcm(packets.where("payload is null")).first().content) == b""
+    whole = packets.where("payload is not null")
+    assert bytes(mux.mux_avi(whole, 2, 1, (25, 1)).first().content) == mux.avi_file([bytes([k]) * 6 for k in (0, 2, 3, 11)], 2, 1, (25, 1)) and "FlatMapGroups" not in mux.mux_avi(whole, 2, 1, (25, 1))._jdf.queryExecution().toString()
