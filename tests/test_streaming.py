@@ -86,3 +86,34 @@ def test_updates_end_where_the_batch_does(spark, sf_dir):
     batch = catalog.QUERIES["stream_stats"](spark, sf_dir).where("packets > 0")
     assert rows(catalog.QUERIES["stream_stats_running"](spark, sf_dir)) == rows(batch)
     assert batch.select(F.sum("packets")).first()[0] > 0
+
+
+def test_packets_that_come_together_cost_few_state_calls():
+    """A hundred packets in reverse order, in one call: none is stored, and the order of folding is theirs."""
+    import pandas as pd
+
+    from cuemill.streaming.running import Delta, InOrder
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.kept = {}
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "updateValue":
+                    self.kept[args[0]] = args[1]
+                return {"get": self.kept.get("head"), "exists": "head" in self.kept, "iterator": iter(list(self.kept.items())), "containsKey": args and args[0] in self.kept, "getValue": args and self.kept.get(args[0]), "keys": iter(list(self.kept))}.get(name)
+
+            return call
+
+    class Handle:
+        getValueState = getMapState = lambda self, *args: State()
+
+    fold = InOrder(Delta((1, 1000), (1, 48_000), (1, 90_000)), 1024, None)
+    fold.init(Handle())
+    rows = pd.DataFrame({"stream_packet": range(99, -1, -1), "packet_index": range(99, -1, -1), "pts": range(990, -1, -10), "duration": [480] * 100})
+    (out,) = fold.handleInputRows((1, 0), iter([rows]), None)
+    assert list(out["packet_index"]) == list(range(100)) and list(out["pts"]) == [900 * k for k in range(100)] and len(calls) <= 3
