@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,17 +249,37 @@ def skip_samples(side_data: Column) -> Column:
     return F.when(entry.isNotNull(), F.struct(number(1).alias("skip_samples"), number(9).alias("discard_padding"), byte(17).alias("skip_reason"), byte(19).alias("discard_reason")))
 
 
+#: Bytes of encoded text that are decoded before they are put away as an Arrow array.
+DECODED_BYTES = 4 << 20
+
+
 def decode_text(data: Column, wide: Column) -> Column:
-    """``struct(text, error)`` of tag bytes: UTF-8, or where ``wide`` UTF-16 by its byte order mark, big-endian without one."""
+    """``struct(text, error)`` of tag bytes: UTF-8, or where ``wide`` UTF-16 by its byte order mark, big-endian without one.
+
+    A batch holds its texts as Arrow arrays; only ``DECODED_BYTES`` of them are Python objects at a time.
+    The column is not evaluated anew for each use, so that one that filters by the error decodes once.
+    """
+
+    @F.arrow_udf("struct<text:string,error:string>")
+    def run(values: pa.Array, wides: pa.Array) -> pa.Array:
+        texts, errors, done, held = [], [], [], 0
+
+        def put() -> None:
+            done.append(pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["text", "error"]))
+            texts.clear(), errors.clear()
 
-    @F.pandas_udf("struct<text:string,error:string>")
-    def run(values: pd.Series, wides: pd.Series) -> pd.DataFrame:
-        rows = []
         for v, w in zip(values, wides):
+            raw = v.as_py() or b""
             try:
-                rows.append((boxes.text_of(bytes(v or b""), bool(w)), None))
+                text, error = boxes.text_of(raw, bool(w.as_py())), None
             except boxes.Bad as e:
-                rows.append((None, str(e)))
-        return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
-
-    return run(data, wide)
+                text, error = None, str(e)
+            texts.append(text), errors.append(error)
+            held += len(raw)
+            if held >= DECODED_BYTES:
+                put()
+                held = 0
+        put()
+        return pa.concat_arrays(done)
+
+    return run.asNondeterministic()(data, wide)
