@@ -59,7 +59,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class linked by five-word Jaccard similarity of 0.8 or more: the one with the smallest id."""
+    """One document of each class linked by five-word Jaccard similarity of 0.8 or more: the one with the smallest id.
+
+    Candidates come from SimHash fingerprints in vantage-point trees, as in op4, and from
+    MinHash bands for what differs in more than 4 bits; all are checked exactly.
+    """
     known, key = with_key(docs)
     return chosen(known, key, near_jaccard.near_duplicates(known, id_col=key).where("doc_id = component_id")).dropDuplicates([key]).select(*same(docs))
 

@@ -1,19 +1,23 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, candidates from MinHash bands.
-
-The pipeline's form of near-duplicate removal: at a similarity of 0.8, SimHash fingerprints
-of 64 bits differ in some ten bits and up to about twenty, where the triangle bounds of
-vantage-point trees rule out nothing, so candidates come from bands of minimum hashes.
-
-1. One pass makes every text's shingle set; equal sets fold into one node. A node has
-   BANDS keys of ROWS minimum hashes each. Two nodes that share a key are candidates: a
-   pair with similarity s shares none with probability (1 - s^ROWS)^BANDS, which is 6 in
-   100,000 at 0.8 and falls quickly above.
-2. Each node is compared with the leader of each of its buckets, by exact intersection of
-   the sets; nodes linked to the same leader are one class, as are most buckets then.
+"""Near-duplicates by exact Jaccard similarity of word shingles, candidates from SimHash trees and MinHash bands.
+
+The pipeline's form of near-duplicate removal: candidates come from op4's method first,
+fingerprints linked through vantage-point trees, and every one is checked exactly. At a
+similarity of 0.8, fingerprints of 64 bits differ in some ten bits and up to about twenty,
+where the triangle bounds of vantage-point trees rule out nothing, so candidates that the
+trees' 4 bits miss come from bands of minimum hashes.
+
+1. One pass makes every text's shingle set and fingerprint; equal sets fold into one node.
+   A node has BANDS keys of ROWS minimum hashes each. Two nodes that share a key are
+   candidates: a pair with similarity s shares none with probability (1 - s^ROWS)^BANDS,
+   which is 6 in 100,000 at 0.8 and falls quickly above.
+2. Fingerprints within 4 bits are linked by ``simhash.links``. Each node is compared with
+   the first one of its fingerprint, the first ones of linked fingerprints with each other,
+   and each node with the leader of each of its buckets, by exact intersection of the
+   sets; nodes linked to the same leader are one class, as are most buckets then.
 3. Buckets that still hold several classes are cut into chunks of a set volume, and each
    two chunks meet in one task that intersects all their sets across classes by matrix
    products. A task puts out a spanning forest of the links it finds, never its pairs.
-   So every candidate pair is compared itself or lies in one class already.
+   So every candidate pair of the bands is compared itself or lies in one class already.
 4. Components of all links give the classes.
 """
 
@@ -28,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import components
 from .storage import materialise, remove_table
 
@@ -122,13 +127,25 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(crossing(rows["node"].to_numpy(), rows["root"].to_numpy(), rows["chunk"].to_numpy(), sets), columns=["u", "v"], dtype=np.int64)
 
 
+def tree_candidates(nodes: DataFrame) -> DataFrame:
+    """``u, v`` over ``nodes(node, n, fp)`` whose sizes let them be similar: by vantage-point trees over the fingerprints, whose classes come as stars."""
+    first = materialise(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")), "near-fps")
+    same = nodes.join(first, "fp").select("node", "n", F.col("f.node").alias("other"), F.col("f.n").alias("m"))
+    of = lambda c, node, n: first.select(F.col("fp").alias(c), F.col("f.node").alias(node), F.col("f.n").alias(n))
+    linked = simhash.links(first.select("fp")).join(of("u", "node", "n"), "u").join(of("v", "other", "m"), "v").select("node", "n", "other", "m")
+    return same.unionByName(linked).where("node != other").where(_alike(F.col("n"), F.col("m"))).select(F.col("node").alias("u"), F.col("other").alias("v"))
+
+
 def near_links(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``u, v`` over ``nodes(node, n, bands)``: links of similar sets that join all similar candidates."""
+    """``u, v`` over ``nodes(node, n, bands, fp)``: links of similar sets that join all similar candidates."""
+    treed = materialise(tree_candidates(nodes.select("node", "n", "fp")), "near-treed")
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     leads = spread.groupBy("bucket").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("lead")).where("rows > 1")
     rows = materialise(spread.join(leads, "bucket").select("bucket", "node", "n", F.col("lead.node").alias("other"), F.col("lead.n").alias("m")), "near-buckets")
-    sets = materialise(sets_of(rows.select("node").distinct()), "near-sets")
-    tried = rows.where("node != other").where(_alike(F.col("n"), F.col("m"))).select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
+    ends = treed.select(F.explode(F.array("u", "v")).alias("node"))
+    sets = materialise(sets_of(rows.select("node").unionByName(ends).distinct()), "near-sets")
+    banded = rows.where("node != other").where(_alike(F.col("n"), F.col("m"))).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    tried = treed.unionByName(banded).distinct()
     links = materialise(_verified(tried, sets), "near-links")
 
     classed = materialise(rows.select("bucket", "node", "n").join(_led(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")), "near-classes")
@@ -158,11 +175,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, keys = [], [], []
+            node, n, keys, fps = [], [], [], []
             for text in batch.column(1):
                 found = shingles(text.as_py())
+                fps.append(simhash.fingerprint(text.as_py()))
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED)), n.append(len(found)), keys.append(np.array(bands(found), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "text", "node", "n", "bands", "fp"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,9 +190,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return prints.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(split, "node bigint, shingles array<bigint>")
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    prints = materialise(rows.mapInArrow(make, f"doc_id {kind}, text string, node bigint, n int, bands array<bigint>"), "near-prints")
+    prints = materialise(rows.mapInArrow(make, f"doc_id {kind}, text string, node bigint, n int, bands array<bigint>, fp bigint"), "near-prints")
     least = materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "near-nodes")
-    roots = components(near_links(prints.select("node", "n", "bands").dropDuplicates(["node"]), sets_of))
+    # texts of one shingle set may repeat shingles differently and have several fingerprints; one stands for them
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp"))
+    roots = components(near_links(nodes, sets_of))
     rooted = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classed = materialise(prints.select("doc_id", "node").join(rooted.join(classes, "root").select("node", "component_id"), "node").select("doc_id", "component_id"), "near-classes")

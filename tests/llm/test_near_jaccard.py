@@ -95,3 +95,13 @@ def test_awkward(awkward, empty):
     assert set(by_id.component_id[[2, 3, 4]]) == {2} and by_id.component_id[8] == 7 and by_id.component_id[1] == 0
     assert got[got.doc_id.isna()].component_id.isna().all()
     assert near_jaccard.near_duplicates(empty).count() == 0
+
+
+def test_trees_give_candidates_that_are_checked(spark):
+    """Without any band, fingerprints of at most 4 differing bits bring pairs together; only similar sets are linked."""
+    sets = {1: range(10), 2: range(9), 3: range(50, 60), 4: range(10), 5: range(200, 230), 6: range(201, 230)}
+    fps = {1: 0, 2: 0b1111, 3: 0b1, 4: -1, 5: 1 << 40, 6: 1 << 40}
+    nodes = spark.createDataFrame([(k, len(v), [], fps[k]) for k, v in sets.items()], "node bigint, n int, bands array<bigint>, fp bigint")
+    table = spark.createDataFrame([(k, list(v)) for k, v in sets.items()], "node bigint, shingles array<bigint>")
+    links = near_jaccard.near_links(nodes, lambda wanted: table.join(wanted, "node", "left_semi"))
+    assert {frozenset(r) for r in links.collect()} == {frozenset((1, 2)), frozenset((5, 6))}
