@@ -95,30 +95,43 @@ def _frames(fmt: str, root: str) -> list[tuple[int, str]]:
 
 
 def nested_report(formats: DataFrame, streams: DataFrame, packets: DataFrame, fields: dict[str, Sequence[str]], fmt: str, root: str = "report") -> DataFrame:
-    """``file_id, rank, number, piece``: the report of every file of ``formats``, piece by piece in the order of ``rank, number``.
+    """``nested_reports`` in one format, without its name."""
+    return nested_reports(formats, streams, packets, fields, [fmt], root).drop("format")
+
+
+def nested_reports(formats: DataFrame, streams: DataFrame, packets: DataFrame, fields: dict[str, Sequence[str]], fmts: Sequence[str], root: str = "report") -> DataFrame:
+    """``format, file_id, rank, number, piece``: a report in each format of every file of ``formats``, piece by piece in the order of ``rank, number``.
+
+    Rows are numbered once, whatever the formats; each becomes its pieces where it lies.
 
     ``streams`` have ``stream_index``, ``packets`` have ``packet_index``, all have the
     ``fields`` of their section and may have ``tags``. Fields that are null are left out;
     whole numbers stand bare in JSON and flat reports. A file without packets or streams
     has empty sections; rows of files that ``formats`` doesn't have are left out.
     """
-    if fmt not in FORMATS:
-        raise ValueError(f"unknown report format {fmt!r}")
+    for fmt in fmts:
+        if fmt not in FORMATS:
+            raise ValueError(f"unknown report format {fmt!r}")
+
+    def pieces(rows: DataFrame, section: str, number: Column) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("format"), piece(rows, section, fields[section], f).alias("piece")) for f in fmts])).alias("f")
+        return rows.select("file_id", number.alias("number"), each).select("f.format", "file_id", F.lit(ITEMS[section]).alias("rank"), "number", "f.piece")
+
     files = formats.select("file_id").distinct()
     out = []
     for section, rows, order in ((PACKETS, packets, "packet_index"), (STREAMS, streams, "stream_index")):
         rows = running(rows.join(files, "file_id", "left_semi"), ["file_id"], order, {"_n": F.lit(1).cast("bigint")}).withColumn("_n", F.coalesce("_n", F.lit(0).cast("bigint")))
-        if fmt == "json":
+        if "json" in fmts:
             counts = rows.groupBy("file_id").agg(F.max("_n").alias("_most"))
             rows = rows.join(counts, "file_id").withColumn("_last", F.col("_n") == F.col("_most")).drop("_most")
-        out.append(rows.select("file_id", F.lit(ITEMS[section]).alias("rank"), F.col("_n").alias("number"), piece(rows, section, fields[section], fmt).alias("piece")))
-        if fmt == "json":  # an empty list has an empty line
-            out.append(files.join(counts, "file_id", "left_anti").select("file_id", F.lit(ITEMS[section]).alias("rank"), F.lit(0).cast("bigint").alias("number"), F.lit("    \n").alias("piece")))
+        out.append(pieces(rows, section, F.col("_n")))
+        if "json" in fmts:  # an empty list has an empty line
+            out.append(files.join(counts, "file_id", "left_anti").select(F.lit("json").alias("format"), "file_id", F.lit(ITEMS[section]).alias("rank"), F.lit(0).cast("bigint").alias("number"), F.lit("    \n").alias("piece")))
     zero = F.lit(0).cast("bigint").alias("number")
-    out.append(formats.select("file_id", F.lit(ITEMS[FORMAT]).alias("rank"), zero, piece(formats, FORMAT, fields[FORMAT], fmt).alias("piece")))
-    if frames := _frames(fmt, root):
-        around = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(t).alias("piece")) for r, t in frames])).alias("f")
-        out.append(files.select("file_id", around).select("file_id", "f.rank", zero, "f.piece"))
+    out.append(pieces(formats, FORMAT, F.lit(0).cast("bigint")))
+    if frames := [(fmt, r, t) for fmt in fmts for r, t in _frames(fmt, root)]:
+        around = F.explode(F.array(*[F.struct(F.lit(f).alias("format"), F.lit(r).alias("rank"), F.lit(t).alias("piece")) for f, r, t in frames])).alias("f")
+        out.append(files.select("file_id", around).select("f.format", "file_id", "f.rank", zero, "f.piece"))
     both = out[0]
     for rows in out[1:]:
         both = both.unionByName(rows)
@@ -131,8 +144,9 @@ def write_lines(report: DataFrame, folder: str) -> None:
     ordered.select(F.expr("substring(piece, 1, length(piece) - 1)").alias("line")).write.text(folder)
 
 
-def write_files(report: DataFrame, folder: str, extension: str) -> DataFrame:
-    """A file for each report, written as a stream; run by the reader of the rows ``file_id, path, packets, bytes``."""
+def write_files(report: DataFrame, folder: str, extension: str | None = None) -> DataFrame:
+    """A file for each report, written as a stream; run by the reader of the rows ``file_id, path, packets, bytes``. Without an extension the formats are folders and extensions."""
     place = (F.col("rank").cast("bigint") * F.lit(1 << 56) + F.col("number")).alias("packet_index")
-    pieces = report.select("file_id", F.lit(0).alias("stream_index"), place, F.col("piece").cast("binary").alias("payload"))
+    kinds = [F.col("format").alias("kind")] if extension is None else []
+    pieces = report.select(*kinds, "file_id", F.lit(0).alias("stream_index"), place, F.col("piece").cast("binary").alias("payload"))
     return write_containers(pieces, folder, extension, raw_layout())[0]

@@ -88,3 +88,13 @@ def test_a_report_of_many_packets_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert sum(r["count"] for r in tasks) == 300_008 and len(tasks) >= 4 and max(r["count"] for r in tasks) < 200_000
+
+
+def test_all_formats_in_one_pass(spark, tables, tmp_path):
+    """Rows are numbered and dealt once, whatever the formats; each format has a folder of its own."""
+    report = nr.nested_reports(*tables, FIELDS, nr.FORMATS)
+    done = nr.write_files(report, f"file://{tmp_path}")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning(kind#") == 1
+    got = {(r.path.split("/")[-3], r.file_id): open(r.path, encoding="utf-8").read() for r in done.collect()}
+    assert got == {(fmt, k): text for fmt in nr.FORMATS for k, text in whole(nr.nested_report(*tables, FIELDS, fmt)).items()}
