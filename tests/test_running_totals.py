@@ -80,3 +80,29 @@ def test_runs(spark):
                 while ns and (not run or ns[0] == run[-1] + 1):
                     run.append(ns.pop(0))
             assert sorted(got.get(g, [])) == [(n, n - run[0], f"x{n}") for n in run]
+
+
+def test_few_ranges_are_met_without_a_lambda(spark):
+    """Lists of ranges are compared by compiled code; as many as are allowed, one more, none, and null places."""
+    few = sample_tables.FEW_RANGES
+    ranges = [(f, 10 * k, 10 * k + 5) for f, n in ((1, few), (2, few + 1), (3, 1)) for k in range(n)]
+    samples = [(f, 0, i, None if i == 7 else 3 * i, 2) for f in (1, 2, 3, 4, None) for i in range(70)]
+    r = spark.createDataFrame(ranges, "file_id bigint, start bigint, end bigint")
+    s = spark.createDataFrame(samples, "file_id bigint, track int, sample bigint, pos bigint, size bigint")
+    want = {(f, i) for f, _, i, pos, size in samples if pos is not None and any(f == g and a <= pos and pos + size <= b for g, a, b in ranges)}
+    for inside in (True, False):
+        found = sample_tables.inside_ranges(s, r, inside)
+        assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = [(x.file_id, x.sample) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == (want if inside else {(f, i) for f, _, i, *_ in samples} - want)
+
+
+def test_sample_tables_share_one_exchange(spark, sf_dir):
+    """Sizes, durations and offsets are made of the same shuffled lines, behind the window that numbers them."""
+    from cuemill.jobs import catalog
+
+    plan = catalog.QUERIES["sample_timeline"](spark, sf_dir)._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    text = plan.toString().split("== Initial Plan ==")[0]
+    shuffled = [line for line in text.splitlines() if "FileScan parquet" in line and "l_quantity" in line and "l_linenumber" in line]
+    assert len(shuffled) == 1 and text.count("ReusedExchange") >= 2
