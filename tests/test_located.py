@@ -74,3 +74,12 @@ def test_files_are_packed_where_they_lie(spark):
         assert {r.file_id: bytes(r.packed) for r in got if r.packed is not None} == want
     with pytest.raises(ValueError):
         stream_mux.packed(files, stream_mux.mov_layout([stream_mux.Track()]))
+
+
+def test_verified_documents_are_shuffled_once(spark, sf_dir):
+    """Both containers of a document are packed, read and compared behind one exchange of documents; digests alone travel besides."""
+    plan = catalog.QUERIES["verified_containers"](spark, sf_dir)._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    lines = plan.toString().split("== Initial Plan ==")[0].splitlines()
+    dealt = [line for line in lines if "REPARTITION_BY_NUM" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1 and len(dealt) == 2
